@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairnmill.operators import hierarchy, orphans
+from cairnmill.operators import drift, hierarchy, orphans
 
 
 def queries():
@@ -12,6 +12,9 @@ def queries():
         "p1_descendants": hierarchy.descendants,
         "p2_found": orphans.found,
         "p2_report": orphans.report,
+        "p3_found": drift.found,
+        "p3_table": drift.unified,
+        "p3_lifespans": drift.spans,
     }
 
 
