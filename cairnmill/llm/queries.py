@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from cairnmill.llm import bpe, split
+from cairnmill.llm import ann, bpe, split
 from cairnmill.sources.tables import table
 
 
 def queries():
     return {
+        "p4_found": ann.found,
+        "p4_knn": ann.knn,
         "p5_found": split.found,
         "p5_pieces": split.pieces,
         "p6_ids": lambda spark, folder: bpe.encode_column(table(spark, folder, "documents"), "doc_id", "text"),
