@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairnmill.llm import ann, bpe, mojibake, split
+from cairnmill.llm import ann, bpe, mojibake, packing, split
 from cairnmill.sources.tables import table
 
 
@@ -13,6 +13,8 @@ def queries():
         "p5_found": split.found,
         "p5_pieces": split.pieces,
         "p6_ids": lambda spark, folder: bpe.encode_column(table(spark, folder, "documents"), "doc_id", "text"),
+        "p7_packing": packing.packing,
+        "p7_fill": packing.fill,
         "p8_found": mojibake.found,
         "p8_repaired": mojibake.repaired,
     }
