@@ -36,7 +36,7 @@ SAMPLE = 20_000
 CANDIDATES = 4096
 #: Mean entries of a cell, up to MAX_CENTROIDS centroids a half (so the histogram has at most MAX_CENTROIDS^2 rows).
 CELL_ROWS, MAX_CENTROIDS = 256, 256
-BLOCK_ROWS, QUERY_ROWS = 25_000, 20_000
+BLOCK_ROWS, QUERY_ROWS = 128_000, 50_000
 
 
 def unit_vectors(rows: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
@@ -198,10 +198,13 @@ class Neighbours:
     def __init__(self, vectors: DataFrame, dim: int = DIM, k: int = K, candidates: int = CANDIDATES):
         """vectors: (key, vec) of unit_vectors()."""
         self.k, self.scratch = k, (s := Scratch(vectors.sparkSession))
-        rows = s.keep(vectors, "vectors")
-        grouped = rows.groupBy("vec").agg(F.count("*").alias("n")).withColumn("entry", F.monotonically_increasing_id())
-        self.entries = entries = s.keep(grouped, "entries")
-        self.members = rows.join(entries.filter("n > 1").select("vec", "entry"), "vec", "left").select("key", "vec", "entry")
+        self.rows = rows = s.keep(vectors.withColumn("row", F.monotonically_increasing_id()), "vectors")
+        # copies: vectors are only shuffled where their hashes repeat
+        again = rows.groupBy(F.xxhash64("vec").alias("_h")).count().filter("count > 1").select("_h")
+        suspects = rows.withColumn("_h", F.xxhash64("vec")).join(again, "_h", "left_semi").select("vec", "row", "key")
+        groups = suspects.groupBy("vec").agg(F.min("row").alias("entry"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        self.copies = copies = s.keep(suspects.join(groups, "vec").select("row", "key", "entry"), "copies")
+        entries = rows.join(copies.filter("row <> entry").select("row"), "row", "left_anti").select(F.col("row").alias("entry"), "vec")
         n = entries.count()
         share = max(1, n // SAMPLE)
         sample = [r[0] for r in entries.filter(F.pmod(F.xxhash64("vec"), F.lit(share)) == 0).select("vec").limit(2 * SAMPLE).collect()]
@@ -262,16 +265,17 @@ class Neighbours:
     def pairs(self, least: float | None = None) -> DataFrame:
         """(key, near, similarity, rank): the k most similar other rows of every row, best first; only those of at least `least`."""
         k = self.k
-        kept = self.scratch.keep(self.members.join(self.entries.filter("n = 1").select("vec", F.col("entry").alias("_e")), "vec", "left").select("key", F.coalesce("entry", "_e").alias("entry")), "members")
+        kept = self.rows.select("row", "key").join(self.copies.select("row", "entry"), "row", "left").select("key", F.coalesce("entry", "row").alias("entry"))
+        several = self.copies.select("entry").distinct()
         if self.found is None:
             return kept.select("key", F.col("key").alias("near"), F.lit(0.0).cast("float").alias("similarity"), F.lit(0).alias("rank")).limit(0)
         near = self.found if least is None else self.found.filter(F.col("sim") >= least)
         w = Window.partitionBy("entry").orderBy("key")
-        wanted = near.select(F.col("near").alias("entry")).union(self.entries.filter("n > 1").select("entry")).distinct()
+        wanted = near.select(F.col("near").alias("entry")).union(several).distinct()
         few = kept.join(wanted, "entry", "left_semi").withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= k + 1).drop("_i")
         ids = self.scratch.keep(few.groupBy("entry").agg(F.sort_array(F.collect_list("key")).alias("ids")), "ids")  # k + 1 at most
         listed = near.join(ids.select(F.col("entry").alias("near"), "ids"), "near").groupBy("entry").agg(F.collect_list(F.struct("sim", "ids")).alias("others"))
-        copies = self.entries.filter("n > 1").select("entry").join(ids.withColumnRenamed("ids", "copies"), "entry")
+        copies = several.join(ids.withColumnRenamed("ids", "copies"), "entry")
         lists = copies.join(listed, "entry", "full").select("entry", F.coalesce("others", F.array().cast("array<struct<sim:float,ids:array<string>>>")).alias("others"), F.coalesce("copies", F.array().cast("array<string>")).alias("copies"))
         mine = F.transform(F.filter("copies", lambda x: x != F.col("key")), lambda x: F.struct((-F.lit(1.0).cast("float")).alias("s"), x.alias("near")))
         rest = F.flatten(F.transform("others", lambda o: F.transform(o["ids"], lambda x: F.struct((-o["sim"]).alias("s"), x.alias("near")))))

@@ -87,12 +87,15 @@ class Chain:
                     except UnicodeDecodeError:
                         self.table[cp] = None
             self.plain = {cp: chr(b) for cp, b in self.bytes.items()}
-            self.only = regex.compile("[\x00-\x7f" + "".join(regex.escape(c) for c in chars if self.table is None or self.table[ord(c)]) + "]+")
+            self.chars = frozenset(c for c in chars if self.table is None or self.table[ord(c)])
 
-    def undo(self, token: str) -> str | None:
-        """What the token was before, None if it can't have been garbled this way."""
+    def undo(self, token: str, beyond: frozenset[str] | None = None) -> str | None:
+        """What the token was before, None if it can't have been garbled this way. beyond: its characters beyond ASCII, if known."""
+        if self.bytes is not None and self.lead is None:
+            if not (frozenset(c for c in token if c > "\x7f") if beyond is None else beyond) <= self.chars:
+                return None
         out = token
-        for i in range(self.times):
+        for _ in range(self.times):
             new = self._once(out)
             if new is None or new == out:
                 return None
@@ -109,8 +112,6 @@ class Chain:
 
             return self.lead.sub(whole, token)
         if self.bytes is not None:
-            if not self.only.fullmatch(token):
-                return None
             if self.table is not None:
                 return token.translate(self.table)
             try:
@@ -229,31 +230,36 @@ class Model:
         """Whether some character of the token, or the one after it, is unlikely."""
         return np.minimum.reduceat(*self.parts(tokens)) < -SURPRISE if tokens else np.empty(0, bool)
 
-    def ratios(self, tokens: list[str], only: set[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        """(token number, chain number, log-likelihood ratio, restored token) wherever the ratio exceeds TOKEN_COST."""
+    def ratios(self, tokens: list[str], only: set[int] | None = None, least: float = TOKEN_COST) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """(token number, chain number, log-likelihood ratio, restored token) wherever the ratio exceeds `least`."""
         at, which, restored = [], [], []
+        beyond = [frozenset(c for c in t if c > "\x7f") for t in tokens]
+        cores = [(i, t, core, frozenset(c for c in core if c > "\x7f")) for i, t in enumerate(tokens) if (core := t.strip(_EDGE)) and len(core) < len(t) and not core.isascii()]
         for z, c in enumerate(chains()):
             if only is not None and z not in only:
                 continue
+            undo = c.undo
             for i, t in enumerate(tokens):
-                o = c.undo(t)
-                core = t.strip(_EDGE)
-                if o is not None and o != t:
+                if (o := undo(t, beyond[i])) is not None and o != t:
                     at.append(i)
                     which.append(z)
                     restored.append(o)
-                if core and len(core) < len(t) and (o := c.undo(core)) is not None and o != core:  # garbled between proper quotes
+            for i, t, core, chars in cores:  # garbled between proper quotes
+                if (o := undo(core, chars)) is not None and o != core:
                     at.append(i)
                     which.append(z)
                     restored.append(t.replace(core, o, 1))
-        at, which = np.array(at, np.int64), np.array(which, np.int64)
+        return self.gains(tokens, np.array(at, np.int64), np.array(which, np.int64), restored, least)
+
+    def gains(self, tokens: list[str], at: np.ndarray, which: np.ndarray, restored: list[str], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """The best restoration of each token and chain, if its log-likelihood ratio exceeds `least`."""
         gain = self.scores(restored) - self.scores(tokens)[at] if len(at) else np.empty(0)
         for k, (z, o) in enumerate(zip(which, restored)):
             if o[0] == "\ufeff" and chains()[z].true == "utf_8":
                 gain[k] += MARK
         order = np.lexsort((-gain, which, at))
         first = np.concatenate([[True], (np.diff(at[order]) != 0) | (np.diff(which[order]) != 0)]) if len(at) else np.empty(0, bool)
-        keep = order[first & (gain[order] > TOKEN_COST)] if len(at) else order
+        keep = order[first & (gain[order] > least)] if len(at) else order
         return at[keep], which[keep], gain[keep], [restored[i] for i in keep]
 
 
@@ -275,6 +281,16 @@ def script_of(token: str) -> int:
     return m.lastindex if m else 0
 
 
+def tokens_of(text: str) -> set[str]:
+    """Distinct tokens outside of inline code: what _TOKEN finds, without a pattern's cost."""
+    if "`" in text:
+        text = _CODE.sub(" ", text)
+    return {w for w in text.translate(_SPACES).split(" ") if not w.isascii()}
+
+
+_SPACES = {9: " ", 10: " ", 13: " "}
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, lang, token number, script, token or null); a token's text is written once a batch."""
     known: dict[str, tuple[int, int]] = {}
@@ -283,7 +299,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, (doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
             if not text or text.isascii():
                 continue
-            for t in set(_TOKEN.findall(_CODE.sub(" ", text))):
+            for t in tokens_of(text):
                 if "�" in t:
                     t = "�"
                 elif t.isspace():  # no more than a wide or hard space
@@ -333,12 +349,15 @@ class Garbled:
         share = occurrences.groupBy("lang", "script").agg(F.count("*").alias("n"))
         suits = share.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("script", "n"))).alias("of"), F.sum("n").alias("all"))
         fit = lambda s: F.log((F.coalesce(F.try_element_at("of", s), F.lit(0)) + 1) / (F.col("all") + 20))
-        by_source = documents.groupBy("source").agg(F.count("*").alias("docs"))
+        by_source = documents.groupBy("source").agg(F.count("*").alias("docs")).persist(StorageLevel.MEMORY_AND_DISK)
         of = documents.select("doc", "source")
-        everything = None
+        everything = by_source.agg(F.sum("docs")).first()[0] or 0
+        candidates = pooled = None
         for step in range(EM_ROUNDS):
             self.model = model = spark.sparkContext.broadcast(Model({k: v.copy() for k, v in arrays.items()}))
-            ratios = tokens.filter(F.col("t") != lost).select("t", "token").mapInArrow(_ratios(model), "t bigint, z int, gain double, token string, restored string, becomes int").persist(StorageLevel.MEMORY_AND_DISK)
+            if candidates is None:  # which chains undo which tokens doesn't change with the model
+                candidates = tokens.filter(F.col("t") != lost).select("t", "token").mapInArrow(_candidates(model), _CANDIDATE).persist(StorageLevel.MEMORY_AND_DISK)
+            ratios = candidates.mapInArrow(_ratios(model), _CANDIDATE).persist(StorageLevel.MEMORY_AND_DISK)
             evidence = (
                 occurrences.select("doc", "lang", "t", "script")
                 .join(ratios.select("t", "z", "gain", "becomes"), "t")
@@ -346,17 +365,14 @@ class Garbled:
                 .groupBy("doc", "z")
                 .agg(F.sum(F.greatest(F.lit(0.0), F.col("gain") + fit(F.col("becomes")) - fit(F.col("script")) - TOKEN_COST)).alias("weight"))
             ).join(of, "doc").persist(StorageLevel.MEMORY_AND_DISK)
-            everything = by_source.agg(F.sum("docs")).first()[0] or 0
-            odds = F.col("weight") + F.log(F.lit(START))
-            for _ in range(2):  # priors of chains by source, shrunk to those of all sources
-                posterior = evidence.withColumn("r", 1 / (1 + F.exp(-odds)))
-                per = posterior.groupBy("source", "z").agg(F.sum("r").alias("c"))
-                pooled = posterior.groupBy("z").agg(((F.sum("r") + START) / (everything + 1)).alias("p"))  # one row a chain
-                prior = per.join(by_source, "source").join(F.broadcast(pooled), "z").select("source", "z", ((F.col("c") + SHRINK * F.col("p")) / (F.col("docs") + SHRINK)).alias("prior"))
-                evidence = evidence.select("doc", "source", "z", "weight").join(prior, ["source", "z"])
-                p = F.least(F.greatest(F.col("prior"), F.lit(1e-9)), F.lit(0.5))
-                odds = F.col("weight") + F.log(p / (1 - p))
-            self.judged = evidence.select("doc", "source", "z", odds.alias("odds")).filter("odds > 0").persist(StorageLevel.MEMORY_AND_DISK)
+            # priors of chains by source, shrunk to those of all sources
+            known = evidence.withColumn("p", F.lit(START)) if pooled is None else evidence.join(F.broadcast(pooled), "z", "left").withColumn("p", F.coalesce("p", F.lit(START)))
+            posterior = known.withColumn("r", 1 / (1 + F.exp(-(F.col("weight") + F.log("p")))))
+            per = posterior.groupBy("source", "z").agg(F.sum("r").alias("c")).persist(StorageLevel.MEMORY_AND_DISK)
+            pooled = per.groupBy("z").agg(((F.sum("c") + START) / (everything + 1)).alias("p")).persist(StorageLevel.MEMORY_AND_DISK)  # one row a chain
+            prior = per.join(by_source, "source").join(F.broadcast(pooled), "z").select("source", "z", ((F.col("c") + SHRINK * F.col("p")) / (F.col("docs") + SHRINK)).alias("prior"))
+            p = F.least(F.greatest(F.col("prior"), F.lit(1e-9)), F.lit(0.5))
+            self.judged = evidence.join(prior, ["source", "z"]).select("doc", "source", "z", (F.col("weight") + F.log(p / (1 - p))).alias("odds")).filter("odds > 0").persist(StorageLevel.MEMORY_AND_DISK)
             self.ratios = ratios
             if step + 1 < EM_ROUNDS:  # the model without what it takes for garbled, and with what that was
                 best = self.judged.groupBy("doc").agg(F.max_by("z", "odds").alias("z"), F.max("odds").alias("odds")).filter(F.col("odds") > SURE)
@@ -411,14 +427,33 @@ def _outside_code(text: str, change) -> str:
     return "".join([*out, change(text[at:])])
 
 
-def _ratios(model):
+_CANDIDATE = "t bigint, z int, gain double, token string, restored string, becomes int"
+_NAMES = ["t", "z", "gain", "token", "restored", "becomes"]
+#: Restorations that look so much worse under the first model aren't looked at again.
+HOPELESS = -12.0
+
+
+def _candidates(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             numbers, tokens = b.column(0).to_numpy(), b.column(1).to_pylist()
             odd = np.flatnonzero(model.value.surprising(tokens))
-            at, z, gain, restored = model.value.ratios([tokens[i] for i in odd]) if len(odd) else (np.empty(0, np.int64), np.empty(0), np.empty(0), [])
+            at, z, gain, restored = model.value.ratios([tokens[i] for i in odd], None, HOPELESS) if len(odd) else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), [])
             at = odd[at]
-            yield pa.RecordBatch.from_arrays([pa.array(numbers[at], pa.int64()), pa.array(z, pa.int32()), pa.array(gain, pa.float64()), pa.array([tokens[i] for i in at], pa.string()), pa.array(restored, pa.string()), pa.array(map(script_of, restored), pa.int32())], names=["t", "z", "gain", "token", "restored", "becomes"])
+            yield pa.RecordBatch.from_arrays([pa.array(numbers[at], pa.int64()), pa.array(z, pa.int32()), pa.array(gain, pa.float64()), pa.array([tokens[i] for i in at], pa.string()), pa.array(restored, pa.string()), pa.array(map(script_of, restored), pa.int32())], names=_NAMES)
+
+    return run
+
+
+def _ratios(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens = b.column(3).to_pylist()
+            which = b.column(1).to_numpy()
+            # each row is a token and a chain of its own
+            keep, _, gain, _ = model.value.gains(tokens, np.arange(len(tokens)), which, b.column(4).to_pylist(), TOKEN_COST) if tokens else (np.empty(0, np.int64), None, np.empty(0), None)
+            got = b.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([got.column(0), got.column(1), pa.array(gain, pa.float64()), *got.columns[3:]], names=_NAMES)
 
     return run
 
