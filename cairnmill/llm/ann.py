@@ -35,8 +35,8 @@ SAMPLE = 20_000
 #: Entries that a query is compared with, at least (if there are so many).
 CANDIDATES = 4096
 #: Mean entries of a cell, up to MAX_CENTROIDS centroids a half (so the histogram has at most MAX_CENTROIDS^2 rows).
-CELL_ROWS, MAX_CENTROIDS = 256, 256
-BLOCK_ROWS, QUERY_ROWS = 128_000, 50_000
+CELL_ROWS, MAX_CENTROIDS = 128, 256
+BLOCK_ROWS, QUERY_ROWS = 128_000, 32_000
 
 
 def unit_vectors(rows: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
@@ -164,24 +164,28 @@ def compare(members: np.ndarray, member_ids: np.ndarray, member_cells: np.ndarra
     lengths = np.fromiter(map(len, probes), np.int64, len(probes))
     rows = np.repeat(np.arange(len(probes)), lengths)
     cells = np.concatenate([np.asarray(p, np.int64) for p in probes])
-    by_cell = np.argsort(cells, kind="stable")
-    rows, cells = rows[by_cell], cells[by_cell]
-    bar = np.full(len(queries), -np.inf, np.float32)  # the k-th best of a query's first cell of k or more
+    nearest = np.zeros(len(rows), bool)
+    nearest[np.cumsum(lengths) - lengths] = True  # a query's cells come nearest first
+    bar = np.full(len(queries), -np.inf, np.float32)  # the (k + 1)-th best of its first cell of more than k
     keep_r, keep_m, keep_s = [], [], []
-    for cell in np.unique(cells):
-        lo, hi = np.searchsorted(member_cells, [cell, cell + 1])
-        a, b = np.searchsorted(cells, [cell, cell + 1])
-        step = max(1, 4_000_000 // max(1, hi - lo))
-        for s in range(a, b if hi > lo else a, step):
-            r = rows[s : min(b, s + step)]
-            sims = queries[r] @ members[lo:hi].T
-            fresh = np.flatnonzero(np.isneginf(bar[r]))
-            if len(fresh) and hi - lo > k:
-                bar[r[fresh]] = np.partition(sims[fresh], hi - lo - k - 1, axis=1)[:, hi - lo - k - 1]
-            i, j = np.nonzero(sims >= bar[r][:, None])
-            keep_r.append(r[i])
-            keep_m.append(lo + j)
-            keep_s.append(sims[i, j])
+    for turn in (nearest, ~nearest):  # the nearest cells set bars that little of the others passes
+        by_cell = np.flatnonzero(turn)
+        by_cell = by_cell[np.argsort(cells[by_cell], kind="stable")]
+        r_of, c_of = rows[by_cell], cells[by_cell]
+        for cell in np.unique(c_of):
+            lo, hi = np.searchsorted(member_cells, [cell, cell + 1])
+            a, b = np.searchsorted(c_of, [cell, cell + 1])
+            step = max(1, 2_000_000 // max(1, hi - lo))
+            for s in range(a, b if hi > lo else a, step):
+                r = r_of[s : min(b, s + step)]
+                sims = queries[r] @ members[lo:hi].T
+                fresh = np.flatnonzero(np.isneginf(bar[r]))
+                if len(fresh) and hi - lo > k:
+                    bar[r[fresh]] = np.partition(sims[fresh], hi - lo - k - 1, axis=1)[:, hi - lo - k - 1]
+                i, j = np.nonzero(sims >= bar[r][:, None])
+                keep_r.append(r[i].astype(np.int32))
+                keep_m.append((lo + j).astype(np.int32))
+                keep_s.append(sims[i, j])
     if not keep_r:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
     r, m, s = np.concatenate(keep_r), member_ids[np.concatenate(keep_m)], np.concatenate(keep_s)
