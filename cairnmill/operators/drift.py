@@ -65,6 +65,8 @@ def _exploder(values: bool):
                     kinds.append(json_type(v))
                     hashes.append(int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True))
                     texts.append(text.encode("utf-8", "surrogatepass").decode("utf-8", "replace") if values else None)
+            if not at:
+                continue
             out = b.drop(columns="payload").iloc[at].reset_index(drop=True)
             yield out.assign(key=keys, json_type=kinds, value_hash=pd.Series(hashes, dtype="int64"), value=pd.Series(texts, dtype=object))
 

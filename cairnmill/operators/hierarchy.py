@@ -127,13 +127,14 @@ class Hierarchy:
             .drop("_lo", "_hi")
         )
         one = s.keep(one, "links")
-        vertices = one.select("type_id", F.explode(F.array("child", "parent")).alias("id")).distinct()
+        several = one.filter("several").limit(1).count() > 0
+        ends = links.filter("child is not null and parent is not null") if several else one  # else each child's one parent is all there is
+        vertices = ends.select("type_id", F.explode(F.array("child", "parent")).alias("id")).distinct()
         vertices = s.keep(vertices.withColumn("v", F.monotonically_increasing_id()), "vertices")
         number = vertices.select("type_id", F.col("id").alias("parent"), F.col("v").alias("p"))
         numbered = vertices.join(one.withColumnRenamed("child", "id"), ["type_id", "id"], "left").select("v", "type_id", "parent", "several")
         numbered = s.keep(numbered.join(number, ["type_id", "parent"], "left").select("v", "p", F.coalesce("several", F.lit(False)).alias("several")), "numbered")
         ended, looped = double(s, "forest", numbered.select("v", "p"), True)
-        several = numbered.filter("several").limit(1).count() > 0
         cut = looped.filter("on_cycle").select("v") if looped is not None else None
         if several:
             n = vertices.select("type_id", F.col("id"), "v")
