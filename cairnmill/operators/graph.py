@@ -39,7 +39,7 @@ def reach(e: DataFrame, start: str, depth: int) -> DataFrame:
     """(id, depth) of nodes within max(depth, 1) undirected hops, the start left out."""
     spark = e.sparkSession
     s = Scratch(spark)
-    steps = both_ways(e).distinct()
+    steps = s.keep(both_ways(e).distinct(), "steps")  # read once for each hop
     seen = frontier = spark.createDataFrame([(start, 0)], "id string, depth int")
     for d in range(1, max(depth, 1) + 1):
         new = steps.join(frontier.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d))
@@ -64,7 +64,7 @@ def shortest_path(e: DataFrame, start: str, end: str, max_depth: int = MAX_PATH_
     spark = e.sparkSession
     s = Scratch(spark)
     edge = F.struct("id", "type_id", "source_entity_id", "target_entity_id", "evidence_chunk_id")
-    steps = both_ways(e.withColumn("edge", edge), "edge")
+    steps = s.keep(both_ways(e.withColumn("edge", edge), "edge"), "steps")
     found = spark.createDataFrame([(start,)], "id string").withColumn("path", F.array().cast(f"array<{e.select(edge.alias('x')).schema['x'].dataType.simpleString()}>"))
     seen, result = found.select("id"), None
     for d in range(1, max(max_depth, 1) + 1) if start != end else ():

@@ -41,8 +41,8 @@ def double(scratch: Scratch, name: str, links: DataFrame, sizes: bool) -> tuple[
     Each round, a node learns the pointer of the node it points to, and hands its size on to that node.
     """
     state = links.select("v", F.col("p").alias("ptr"), F.when(F.col("p").isNull(), 0).otherwise(1).cast("long").alias("dist"), F.coalesce("p", "v").alias("top"), F.lit(1).cast("long").alias("size"))
-    state = scratch.keep(state, name)
-    active = state.filter("ptr is not null").count()
+    going_on = F.col("ptr").isNotNull()
+    state, active = scratch.keep_counting(state, name, going_on)
     before = None
     while active and active != before:  # none ended in a round: what is left leads into cycles
         going = state.filter("ptr is not null")
@@ -52,8 +52,8 @@ def double(scratch: Scratch, name: str, links: DataFrame, sizes: bool) -> tuple[
         if sizes:
             gain = going.groupBy(F.col("ptr").alias("v")).agg(F.sum("size").alias("_gain"))
             new = new.join(gain, "v", "left").select("v", "ptr", "dist", "top", (F.col("size") + F.coalesce("_gain", F.lit(0))).alias("size"))
-        state = scratch.keep(new, name)
-        before, active = active, state.filter("ptr is not null").count()
+        before = active
+        state, active = scratch.keep_counting(new, name, going_on)
     ended = state.filter("ptr is null").select("v", "top", "dist", "size")
     if not active:
         return ended, None

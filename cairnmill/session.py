@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int = 8, name: str = "cairnmill") -> SparkSession:
@@ -68,12 +69,22 @@ class Scratch:
         _made.append((spark, self.base))
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
+        return self.keep_counting(df, name)[0]
+
+    def keep_counting(self, df: DataFrame, name: str, count: Column | None = None) -> tuple[DataFrame, int]:
+        """Also how many rows fulfil a condition, observed while writing."""
         path = f"{self.base}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        if count is None:
+            df.write.parquet(path)
+            n = 0
+        else:
+            seen = Observation()
+            df.observe(seen, F.count(F.when(count, 1)).alias("n")).write.parquet(path)
+            n = seen.get["n"]
         if name in self.now:
             remove(self.spark, self.now[name])
         self.now[name] = path
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), n
 
     def drop(self, name: str) -> None:
         if name in self.now:
