@@ -23,12 +23,14 @@ def uuid_key(c: Column) -> Column:
     return F.unhex(uuid_hex(c))
 
 
+def dashed(hex32: Column) -> Column:
+    """Hyphens into 32 hex digits. One pattern, so that what gives the digits is evaluated once."""
+    return F.regexp_replace(hex32, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
 def uuid_text(key: Column) -> Column:
     """Lower case with hyphens, from 16 bytes."""
-    h = F.lower(F.hex(key))
-    return F.concat_ws(
-        "-", h.substr(1, 8), h.substr(9, 4), h.substr(13, 4), h.substr(17, 4), h.substr(21, 12)
-    )
+    return dashed(F.lower(F.hex(key)))
 
 
 def is_blank(c: Column) -> Column:

@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnmill.functions.text import ascii_lower
 from cairnmill.functions.vectors import cosine
 from cairnmill.schemas import ZONE_HIGH, ZONE_LOW
+from cairnmill.session import Scratch
 
-#: More types than this aren't compared with every candidate by broadcast; see nearest_type.
-MAX_TYPES = 10_000
+#: More types than this are compared with the candidates in slices; see nearest_type.
+MAX_TYPES = 1000
+
+
+def vocabulary(rows: DataFrame, *columns: str) -> Column:
+    """A small checked vocabulary as one constant array of structs, so that it needs no join."""
+    got = [r.asDict() for r in rows.select(*columns).collect()]
+    kinds = {c: "array<double>" if t.startswith("array") else t for c, t in rows.select(*columns).dtypes}
+    plain = [{c: [float(x) for x in r[c]] if kinds[c] == "array<double>" else r[c] for c in columns} for r in got]
+    return F.from_json(F.lit(json.dumps(plain)), "array<struct<" + ",".join(f"{c}:{t}" for c, t in kinds.items()) + ">>")
 
 
 def split_reserved(candidates: DataFrame, relation_types: DataFrame, name: str = "raw_name") -> tuple[DataFrame, DataFrame]:
@@ -26,21 +37,21 @@ def split_reserved(candidates: DataFrame, relation_types: DataFrame, name: str =
 def nearest_type(candidates: DataFrame, types: DataFrame, key: str = "candidate_id") -> DataFrame:
     """(key, type_name, distance): the type of least cosine distance to each candidate, ties by name; (1.0, null) without types.
 
-    types (name, vector) is a vocabulary; its size is checked, and it is folded into one array that goes
-    along with every candidate, so nothing is joined pair by pair. A vocabulary above MAX_TYPES is compared in slices.
+    types (name, vector) is a vocabulary; its size is checked, and it becomes one constant, so nothing is
+    joined pair by pair. A vocabulary above MAX_TYPES is compared in slices.
     """
     n = types.count()
     if not n:
         return candidates.select(key, F.lit(None).cast("string").alias("type_name"), F.lit(1.0).alias("distance"))
     slices = -(-n // MAX_TYPES)
-    listed = types.withColumn("_s", F.pmod(F.xxhash64("name"), F.lit(slices))).groupBy("_s").agg(F.sort_array(F.collect_list(F.struct("name", "vector"))).alias("types"))
     out = None
-    for row in range(slices):
-        one = candidates.crossJoin(F.broadcast(listed.filter(F.col("_s") == row).select("types")))  # a single row
-        scored = F.transform("types", lambda t: F.struct((1 - cosine(F.col("vector"), t["vector"])).alias("distance"), t["name"].alias("type_name")))
-        best = one.select(key, F.array_min(scored).alias("b"))
+    for k in range(slices):
+        part = types.filter(F.pmod(F.xxhash64("name"), F.lit(slices)) == k)
+        scored = F.transform(vocabulary(part, "name", "vector"), lambda t: F.struct((1 - cosine(F.col("vector"), t["vector"])).alias("distance"), t["name"].alias("type_name")))
+        best = candidates.select(key, F.array_min(scored).alias("b"))
         out = best if out is None else out.unionByName(best)
-    return out.groupBy(key).agg(F.min("b").alias("b")).select(key, "b.type_name", "b.distance") if slices > 1 else out.select(key, "b.type_name", "b.distance")
+    out = out.groupBy(key).agg(F.min("b").alias("b")) if slices > 1 else out
+    return out.select(key, "b.type_name", "b.distance")
 
 
 def zone(distance: Column, low: float = ZONE_LOW, high: float = ZONE_HIGH) -> Column:
@@ -95,3 +106,36 @@ def first_per_label(rows: DataFrame, label: str, key: str) -> DataFrame:
     """The row of least key of each label."""
     w = Window.partitionBy(label).orderBy(key)
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def extract(chunks: DataFrame, extractor, key: str = "id", text: str = "content") -> DataFrame:
+    """(key, ordinal, raw_name, raw_type_hint): candidates of each chunk. Null and empty chunks have none."""
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"raw_name": c["raw_name"], "raw_type_hint": c.get("raw_type_hint")} for c in (extractor.extract(t) if t else [])])
+
+    found = F.pandas_udf(run, "array<struct<raw_name:string,raw_type_hint:string>>")
+    return chunks.select(F.col(key), F.posexplode(found(F.col(text))).alias("ordinal", "c")).select(key, "ordinal", "c.*")
+
+
+def classify_static(candidates: DataFrame, types: DataFrame, relation_types: DataFrame, embedder, extractor, low: float = ZONE_LOW, high: float = ZONE_HIGH) -> DataFrame:
+    """Set-wise classification against a vocabulary that doesn't grow meanwhile: (raw_name, raw_type_hint, type_name, distance, zone, outcome).
+
+    types (name, description). Reserved names are rejected first; every distinct probe text and description is embedded
+    once; only distinct names of the middle zone are judged.
+    """
+    from cairnmill.sources.providers import embed_distinct
+
+    allowed, reserved = split_reserved(candidates, relation_types)
+    names = allowed.select("raw_name", "raw_type_hint").distinct()
+    probes = embed_distinct(names.withColumn("probe", F.coalesce("raw_type_hint", "raw_name")), "probe", embedder).withColumn("candidate_id", F.struct("raw_name", "raw_type_hint"))
+    described = embed_distinct(types.select("name", F.coalesce("description", F.lit("")).alias("description")), "description", embedder)
+    near = Scratch(candidates.sparkSession).keep(nearest_type(probes, described).withColumn("zone", zone(F.col("distance"), low, high)), "near")
+
+    def run(names: pd.Series, nearest: pd.Series) -> pd.Series:
+        return pd.Series([extractor.judge(n, t) for n, t in zip(names, nearest)], dtype=object)
+
+    judged = near.filter("zone = 'judge'").withColumn("outcome", F.pandas_udf(run, "string")(F.col("candidate_id.raw_name"), F.col("type_name")))
+    plain = near.filter("zone <> 'judge'").withColumn("outcome", F.col("zone"))
+    done = judged.unionByName(plain).select("candidate_id.*", "type_name", "distance", "zone", "outcome")
+    rejected = reserved.select("raw_name", "raw_type_hint").distinct().select("raw_name", "raw_type_hint", F.lit(None).cast("string").alias("type_name"), F.lit(None).cast("double").alias("distance"), F.lit("reserved").alias("zone"), F.lit("reject").alias("outcome"))
+    return done.unionByName(rejected)

@@ -129,3 +129,16 @@ def ingest(parsed: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     relations = first.join(ids.select(F.col("k").alias("s"), F.col("id").alias("source_entity_id")), "s").join(ids.select(F.col("k").alias("t"), F.col("id").alias("target_entity_id")), "t")
     relations = relations.select(stable_id(F.lit("relation"), F.col("concept"), F.col("source_entity_id"), F.col("target_entity_id")).alias("id"), F.col("concept").alias("type"), "source_entity_id", "target_entity_id", F.lit(1.0).cast("float").alias("confidence"), "evidence_file")
     return entities.drop("k"), relations
+
+
+def learn_profiles(shapes: DataFrame, known: DataFrame, extractor, learned_at: str = "0") -> DataFrame:
+    """Profiles of (folder_scope, key_fingerprint, keys array<string>) shapes that aren't known, each asked for once."""
+    import json
+
+    def run(keys: pd.Series) -> pd.Series:
+        return keys.map(lambda k: json.dumps(extractor.concepts([str(x) for x in k]), ensure_ascii=False))
+
+    on = ["folder_scope", "key_fingerprint"]
+    new = shapes.join(known.select(*on), on, "left_anti").groupBy(*on).agg(F.min("keys").alias("keys"))
+    mapping = F.pandas_udf(run, "string")(F.col("keys"))
+    return new.select(stable_id(F.lit("profile"), F.col("folder_scope"), F.col("key_fingerprint")).alias("id"), *on, mapping.alias("field_mapping"), F.lit(learned_at).alias("learned_at"))

@@ -9,19 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnmill.functions.ids import uuid_hex
+from cairnmill.functions.ids import dashed, uuid_hex
 from cairnmill.schemas import MAX_PATH_DEPTH
 from cairnmill.session import Scratch
 
 
-def dashed(c):
-    return F.concat_ws("-", c.substr(1, 8), c.substr(9, 4), c.substr(13, 4), c.substr(17, 4), c.substr(21, 12))
-
-
 def edges(relations: DataFrame) -> DataFrame:
     """Relations with both ends as lower-case ids; rows whose ends are no ids are left out."""
     out = relations.withColumn("source_entity_id", dashed(uuid_hex(F.col("source_entity_id")))).withColumn("target_entity_id", dashed(uuid_hex(F.col("target_entity_id"))))
-    return out.filter((F.length("source_entity_id") == 36) & (F.length("target_entity_id") == 36))
+    return out.filter("source_entity_id is not null and target_entity_id is not null")
 
 
 def both_ways(e: DataFrame, *keep: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairnmill.functions.text import ascii_lower, mention_tokens
 from cairnmill.functions.vectors import cosine
+from cairnmill.operators.classify import vocabulary
 from cairnmill.schemas import ROUTING_THRESHOLD
 
 
@@ -34,11 +35,10 @@ def mentions(questions: DataFrame, entities: DataFrame, key: str = "question_id"
 def route(questions: DataFrame, relation_types: DataFrame, key: str = "question_id") -> DataFrame:
     """(key, type_id, type_name, score): the relation type whose description is most like the question, ties by name.
 
-    relation_types (id, name, vector) is a vocabulary of a few rows, folded into one array.
+    relation_types (id, name, vector) is a vocabulary of a few rows, one constant.
     """
-    listed = relation_types.agg(F.collect_list(F.struct("name", "id", "vector")).alias("types"))
-    scored = F.transform("types", lambda t: F.struct((-cosine(F.col("vector"), t["vector"])).alias("s"), t["name"].alias("type_name"), t["id"].alias("type_id")))
-    best = questions.crossJoin(F.broadcast(listed)).select(key, F.array_min(scored).alias("b"))  # a single row
+    scored = F.transform(vocabulary(relation_types, "name", "id", "vector"), lambda t: F.struct((-cosine(F.col("vector"), t["vector"])).alias("s"), t["name"].alias("type_name"), t["id"].alias("type_id")))
+    best = questions.select(key, F.array_min(scored).alias("b"))
     return best.select(key, "b.type_id", "b.type_name", (-F.col("b.s")).alias("score"))
 
 

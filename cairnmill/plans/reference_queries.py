@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnmill.functions import text as tx
-from cairnmill.functions.ids import epoch, uuid_hex
+from cairnmill.functions.ids import dashed, epoch, uuid_hex
 from cairnmill.functions.vectors import usable
 from cairnmill.operators import chunking, classify, frontmatter, graph, registry, router, search, sync
 from cairnmill.sources.tables import current_rows, live_ids, table
@@ -172,7 +172,7 @@ def profile_lookup(spark, folder):
 
 
 def type_counts(spark, folder):
-    e = live_entities(spark, folder).select(graph.dashed(uuid_hex(F.col("type_id"))).alias("type_id"))
+    e = live_entities(spark, folder).select(dashed(uuid_hex(F.col("type_id"))).alias("type_id"))
     return registry.instance_counts(table(spark, folder, "entity_types"), e).select("name", "instance_count")
 
 
@@ -309,6 +309,26 @@ def placeholder_retype(spark, folder):
     return registry.retype(live_entities(spark, folder).filter("canonical_name is not null"), own).groupBy("type_id").agg(F.count("*").alias("n"))
 
 
+def classify_candidates(spark, folder):
+    """Candidates of all live chunks against the entity types, offline providers."""
+    from cairnmill.sources.providers import HashedEmbedder, RuleExtractor
+
+    c = classify.extract(live_chunks(spark, folder, "content"), RuleExtractor())
+    got = classify.classify_static(c, table(spark, folder, "entity_types").select("name", "description"), table(spark, folder, "relation_types"), HashedEmbedder(), RuleExtractor())
+    return got.groupBy("zone", "outcome").agg(F.count("*").alias("n"))
+
+
+def learn_profiles(spark, folder):
+    """Profiles for the shapes of records that have none."""
+    from cairnmill.operators.drift import keyed_rows
+    from cairnmill.sources.providers import RuleExtractor
+
+    r = table(spark, folder, "frontmatter_records").filter("key_fingerprint is not null")
+    keys = keyed_rows(r).groupBy("record_id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    shapes = r.select("record_id", "folder_scope", "key_fingerprint").distinct().join(keys, "record_id").drop("record_id")
+    return frontmatter.learn_profiles(shapes, registry.profiles(table(spark, folder, "frontmatter_profiles")), RuleExtractor()).select("folder_scope", "key_fingerprint", "field_mapping")
+
+
 def stream_catchup(spark, folder):
     """Documents that have a path, written as files by the executors, read by the stream, indexed, and counted."""
     from cairnmill.plans.stream_query import run
@@ -363,6 +383,8 @@ def queries():
         "route_question": route_question,
         "query_ontological": query_ontological,
         "placeholder_retype": placeholder_retype,
+        "classify_candidates": classify_candidates,
+        "learn_profiles": learn_profiles,
         "stream_catchup": stream_catchup,
     }
 
@@ -423,6 +445,10 @@ def _split_count(marked: str) -> str:
     return f"SELECT doc_id, len(p) AS n_pieces, list_max(list_transform(p, lambda x: length(x))) AS longest FROM (SELECT doc_id, {marked} AS p FROM documents WHERE text IS NOT NULL AND text <> '')"
 
 
+_BLOCK = r"""blocks AS (SELECT doc_id, regexp_extract(text, '(?s)^\x{FEFF}?---(.*?)\n---', 1) AS block FROM documents WHERE regexp_matches(text, '(?s)^\x{FEFF}?---.*?\n---')),
+  fields AS (SELECT doc_id, unnest(regexp_extract_all(block, '(?m)^([A-Za-z_][A-Za-z_-]*):(?:[ ]+.*|\r?)$', 1)) AS key, trim(unnest(regexp_extract_all(block, '(?m)^[A-Za-z_][A-Za-z_-]*:(.*)$', 1)), chr(32) || chr(13)) AS v FROM blocks)"""
+
+
 def oracle_sql():
     hits = " + ".join(f"CAST(contains(lower(coalesce(content, '')), '{w}') AS INT)" for w in HIT_WORDS)
     words = search.query_keywords(QUERY_TEXT)
@@ -440,6 +466,8 @@ SELECT id AS chunk_id, file_path, hits, vr, kr, round(1 / (61.0 + vr) + 1 / (61.
         "paragraph_split": _split_count(r"""(SELECT list_transform(list_zip(c, list_append(c[2:], length(text) + 1)), lambda q: substr(text, q[1], q[2] - q[1])) FROM (SELECT list_prepend(1, list_filter(list_transform(list_filter(range(1, length(text)), lambda i: substr(text, i, 2) = chr(10) || chr(10)), lambda i: i + 2), lambda i: i <= length(text))) AS c))"""),
         "sentence_split": _split_count(r"string_split(regexp_replace(text, '([.!?])([ \t\n\r\f])', '\1' || chr(57344) || '\2', 'g'), chr(57344))"),
         "hard_cut": _split_count("list_transform(range(0, greatest(1, CAST(ceil(length(text) / 768.0) AS BIGINT))), lambda i: substr(text, i * 768 + 1, 768))"),
+        "frontmatter_keys": f"WITH {_BLOCK} SELECT doc_id, string_agg(key, ',' ORDER BY key) AS keys, sha256(string_agg(key, ',' ORDER BY key)) AS key_fingerprint FROM fields GROUP BY 1",
+        "frontmatter_values": f"WITH {_BLOCK} SELECT doc_id, key, CASE WHEN v LIKE '[%]' THEN replace(v[2:-2], ', ', '|') WHEN v IN ('true', 'false', 'null', '~') THEN '' ELSE v END AS field_values FROM fields",
         "file_diff": f"WITH {_DIFF} SELECT * FROM diff",
         "sync_summary": f"WITH {_DIFF} SELECT count(*) FILTER (status = 'unchanged') AS unchanged, count(*) FILTER (status IN ('changed', 'new')) AS changed, count(*) FILTER (status = 'deleted') AS deleted FROM diff",
         "deleted_files": f"WITH {_DIFF} SELECT file_path FROM diff WHERE status = 'deleted'",

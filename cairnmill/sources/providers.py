@@ -90,3 +90,80 @@ def embed_distinct(rows: DataFrame, text: str, embedder: Embedder) -> DataFrame:
     keyed = rows.withColumn("_t", F.lower(F.trim(F.col(text))))
     once = keyed.select("_t").distinct().withColumn("vector", embedding(embedder, F.col("_t"))["embedding"])
     return keyed.join(once, "_t").drop("_t")
+
+
+class Unavailable(RuntimeError):
+    """The provider can't be reached or fails; the job stops and the files stay unindexed."""
+
+
+class HttpEmbedder:
+    """A JSON endpoint: POST {"model", "input": [texts]} gives {"embeddings": [[...]]}. 4xx answers reject the text, anything else is an outage."""
+
+    def __init__(self, url: str, model: str, dimension: int | None = None, timeout: float = 60.0):
+        self.url, self.model, self.timeout = url, model, timeout
+        self.dimension = dimension or len(self.embed(["capability probe"])[0])
+
+    def embed(self, texts: list[str]) -> list[np.ndarray]:
+        got = post_json(self.url, {"model": self.model, "input": texts}, self.timeout).get("embeddings")
+        if not isinstance(got, list) or len(got) != len(texts):
+            raise Unavailable("malformed reply")
+        return [np.asarray(v, np.float32) for v in got]
+
+
+def post_json(url: str, body: dict, timeout: float) -> dict:
+    import json
+    import urllib.error
+    import urllib.request
+
+    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"})
+    try:
+        with urllib.request.urlopen(request, timeout=timeout) as reply:  # noqa: S310 (the caller configures the address)
+            return parse_reply(reply.read().decode())
+    except urllib.error.HTTPError as e:
+        raise (Rejected if 400 <= e.code < 500 else Unavailable)(f"{e.code}") from e
+    except OSError as e:
+        raise Unavailable(str(e)) from e
+
+
+DECISIONS = ("merge", "new", "reject")
+
+
+def parse_reply(text: str) -> dict:
+    """A reply's JSON object; anything else is an error, never a guess."""
+    import json
+
+    try:
+        got = json.loads(text)
+    except ValueError as e:
+        raise Unavailable("malformed reply") from e
+    if not isinstance(got, dict):
+        raise Unavailable("malformed reply")
+    return got
+
+
+def parse_decision(text: str) -> str:
+    got = parse_reply(text).get("decision")
+    if got not in DECISIONS:
+        raise Unavailable(f"unknown decision: {got}")
+    return got
+
+
+class HttpExtractor:
+    """Candidates, judgements and key meanings from a completion endpoint that answers in JSON."""
+
+    def __init__(self, url: str, model: str, timeout: float = 120.0):
+        self.url, self.model, self.timeout = url, model, timeout
+
+    def _ask(self, task: str, **given) -> str:
+        return str(post_json(self.url, {"model": self.model, "task": task, "input": given, "format": "json"}, self.timeout).get("response", ""))
+
+    def extract(self, text: str) -> list[dict]:
+        rows = parse_reply(self._ask("List the entities that this text names, each with raw_name and raw_type_hint or null, under 'candidates'.", text=text)).get("candidates", [])
+        return [{"raw_name": str(r["raw_name"]), "raw_type_hint": r.get("raw_type_hint")} for r in rows if isinstance(r, dict) and r.get("raw_name")]
+
+    def judge(self, name: str, type_name: str) -> str:
+        return parse_decision(self._ask("Is the entity an instance of the type (merge), of a new type (new) or none (reject)? Answer under 'decision'.", name=name, type=type_name))
+
+    def concepts(self, keys: list[str]) -> dict[str, str | None]:
+        got = parse_reply(self._ask("Which of the known concepts does each key mean, or null?", keys=keys))
+        return {k: got.get(k) if isinstance(got.get(k), str) else None for k in keys}

@@ -16,7 +16,7 @@ def one(spark, expr):
 
 def test_text_functions(spark):
     assert [one(spark, tx.estimated_tokens(F.lit(t))) for t in ("", "abcd", "abcde", "né😀")] == [0, 1, 2, 1]
-    assert one(spark, tx.keywords(F.lit("The depends_on, of né KERN-vector"))) == ["the", "depends", "né".lower(), "kern", "vector"]
+    assert one(spark, tx.keywords(F.lit("The depends_on, of né GRAPH-vector"))) == ["the", "depends", "né", "graph", "vector"]
     assert one(spark, tx.mention_tokens(F.lit("what is the depends_on relation for TASK-010b?"))) == ["depends_on", "relation", "TASK-010b"]
     assert one(spark, tx.paragraphs(F.lit("a\n\n\nb"))) == ["a\n\n", "\n", "b"] or one(spark, tx.paragraphs(F.lit("a\n\n\nb"))) == ["a\n\n", "\nb"]
     assert one(spark, tx.sentences(F.lit("One. Two!No? x"))) == ["One.", " Two!No?", " x"]
@@ -182,3 +182,34 @@ def test_router(spark):
     edges = spark.createDataFrame([("r", "a", "2", "3", 1.0, "c")], schemas.RELATION)
     modes = {r["question_id"]: (r["mode"], r["answer"]) for r in router.answers(q, router.mentions(q, e), router.route(asked, types), edges).collect()}
     assert modes[1] == ("graph_traversal", "TASK-010b has 1 relation(s) of type 'causes'") and modes[2][0] == "vector_fallback"
+
+
+def test_static_classification_and_profiles(spark):
+    from cairnmill.sources.providers import HashedEmbedder, RuleExtractor
+
+    class Judge(RuleExtractor):
+        def judge(self, name, type_name):
+            return "merge"
+
+    chunks = spark.createDataFrame([("a", "TASK-1 and the ledger-gateway-22 for TASK-1"), ("b", None), ("c", "")], "id string, content string")
+    cand = classify.extract(chunks, RuleExtractor())
+    assert [(r["raw_name"], r["raw_type_hint"]) for r in cand.orderBy("ordinal").collect()] == [("TASK-1", "task"), ("ledger-gateway-22", None)]
+    types = spark.createDataFrame([("task", "task"), ("gateway", "one gateway")], "name string, description string")
+    reserved = spark.createDataFrame([("Ledger-Gateway-22",)], "name string")
+    got = {r["raw_name"]: (r["zone"], r["outcome"], r["type_name"]) for r in classify.classify_static(cand, types, reserved, HashedEmbedder(32), Judge()).collect()}
+    assert got == {"TASK-1": ("merge", "merge", "task"), "ledger-gateway-22": ("reserved", "reject", None)}
+    mid = classify.classify_static(cand.filter("ordinal = 0"), types, reserved, HashedEmbedder(32), Judge(), low=-1.0).first()
+    assert (mid["zone"], mid["outcome"]) == ("judge", "merge")
+    shapes = spark.createDataFrame([("s", "f1", ["Depends-On", "x"]), ("s", "f1", ["Depends-On", "x"]), ("s", "f2", ["id"])], "folder_scope string, key_fingerprint string, keys array<string>")
+    known = spark.createDataFrame([("s", "f2")], "folder_scope string, key_fingerprint string")
+    rows = frontmatter.learn_profiles(shapes, known, RuleExtractor()).collect()
+    assert [(r["key_fingerprint"], r["field_mapping"]) for r in rows] == [("f1", '{"Depends-On": "depends_on", "x": null}')]
+
+
+def test_provider_replies():
+    from cairnmill.sources.providers import Unavailable, parse_decision, parse_reply
+
+    assert parse_reply('{"a": 1}') == {"a": 1} and parse_decision('{"decision": "merge"}') == "merge"
+    for bad in ("", "[1]", '{"decision": "maybe"}'):
+        with pytest.raises(Unavailable):
+            parse_decision(bad)
