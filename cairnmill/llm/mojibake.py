@@ -25,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnmill.session import Scratch
 from cairnmill.sources.tables import table
 
 #: Evidence of a token counts beyond this log-likelihood ratio: garbling hits about one token in e^3 of an affected text.
@@ -204,6 +204,24 @@ def count(tokens: list[str], weights: np.ndarray) -> dict[int, np.ndarray]:
     return out
 
 
+def _sparse(counts: dict[int, np.ndarray]) -> dict:
+    return {k: (len(x), (i := np.flatnonzero(x)).astype(np.int32), x[i]) for k, x in counts.items()}
+
+
+_models: dict = {}
+
+
+def model_of(sent) -> Model:
+    """The model of a broadcast, built once in each worker from the counts that aren't zero."""
+    if sent.value is not _models.get("counts"):
+        counts = {}
+        for k, (n, i, x) in sent.value.items():
+            counts[k] = np.zeros(n)
+            counts[k][i] = x
+        _models.update(counts=sent.value, model=Model(counts))
+    return _models["model"]
+
+
 class Model:
     def __init__(self, counts: dict[int, np.ndarray]):
         self.pairs, self.ones, self.pooled, cases = (counts[k] for k in (PAIRS, ONES, POOLED, CASES))
@@ -336,10 +354,11 @@ class Garbled:
 
     def __init__(self, documents: DataFrame):
         spark = documents.sparkSession
+        keep = Scratch(spark).keep  # short plans: the driver's memory doesn't grow with the rounds
         self.documents = documents = documents.withColumn("source", F.coalesce("source", F.lit("\x00")))  # records without a source are one source
-        occurrences = documents.select("doc", "text", F.coalesce("lang", F.lit("")).alias("lang")).mapInArrow(_tokens, "doc bigint, lang string, t bigint, script int, token string").persist(StorageLevel.MEMORY_AND_DISK)
+        occurrences = keep(documents.select("doc", "text", F.coalesce("lang", F.lit("")).alias("lang")).mapInArrow(_tokens, "doc bigint, lang string, t bigint, script int, token string"), "occurrences")
         # a document has each token once
-        tokens = occurrences.groupBy("t").agg(F.max("token").alias("token"), F.count("*").cast("double").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+        tokens = keep(occurrences.groupBy("t").agg(F.max("token").alias("token"), F.count("*").cast("double").alias("n")), "tokens")
         lost = token_number("�")
         proper = tokens.filter(F.col("t") != lost).select("token", "n")
         counts = proper.mapInArrow(_counter, "kind int, i bigint, n double").groupBy("kind", "i").agg(F.sum("n").alias("n"))
@@ -347,32 +366,33 @@ class Garbled:
         self._add(arrays, counts)
         # which scripts a language's tokens have: a restored token must suit its document better than the token as it is
         share = occurrences.groupBy("lang", "script").agg(F.count("*").alias("n"))
-        suits = share.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("script", "n"))).alias("of"), F.sum("n").alias("all"))
+        suits = keep(share.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("script", "n"))).alias("of"), F.sum("n").alias("all")), "suits")
         fit = lambda s: F.log((F.coalesce(F.try_element_at("of", s), F.lit(0)) + 1) / (F.col("all") + 20))
-        by_source = documents.groupBy("source").agg(F.count("*").alias("docs")).persist(StorageLevel.MEMORY_AND_DISK)
+        by_source = keep(documents.groupBy("source").agg(F.count("*").alias("docs")), "sources")
         of = documents.select("doc", "source")
         everything = by_source.agg(F.sum("docs")).first()[0] or 0
         candidates = pooled = None
         for step in range(EM_ROUNDS):
-            self.model = model = spark.sparkContext.broadcast(Model({k: v.copy() for k, v in arrays.items()}))
+            self.model = model = spark.sparkContext.broadcast(_sparse(arrays))
             if candidates is None:  # which chains undo which tokens doesn't change with the model
-                candidates = tokens.filter(F.col("t") != lost).select("t", "token").mapInArrow(_candidates(model), _CANDIDATE).persist(StorageLevel.MEMORY_AND_DISK)
-            ratios = candidates.mapInArrow(_ratios(model), _CANDIDATE).persist(StorageLevel.MEMORY_AND_DISK)
-            evidence = (
+                candidates = keep(tokens.filter(F.col("t") != lost).select("t", "token").mapInArrow(_candidates(model), _CANDIDATE), "candidates")
+            ratios = keep(candidates.mapInArrow(_ratios(model), _CANDIDATE), "ratios")
+            weighed = (
                 occurrences.select("doc", "lang", "t", "script")
                 .join(ratios.select("t", "z", "gain", "becomes"), "t")
                 .join(suits, "lang")
                 .groupBy("doc", "z")
                 .agg(F.sum(F.greatest(F.lit(0.0), F.col("gain") + fit(F.col("becomes")) - fit(F.col("script")) - TOKEN_COST)).alias("weight"))
-            ).join(of, "doc").persist(StorageLevel.MEMORY_AND_DISK)
+            )
+            evidence = keep(weighed.join(of, "doc"), "evidence")
             # priors of chains by source, shrunk to those of all sources
             known = evidence.withColumn("p", F.lit(START)) if pooled is None else evidence.join(F.broadcast(pooled), "z", "left").withColumn("p", F.coalesce("p", F.lit(START)))
             posterior = known.withColumn("r", 1 / (1 + F.exp(-(F.col("weight") + F.log("p")))))
-            per = posterior.groupBy("source", "z").agg(F.sum("r").alias("c")).persist(StorageLevel.MEMORY_AND_DISK)
-            pooled = per.groupBy("z").agg(((F.sum("c") + START) / (everything + 1)).alias("p")).persist(StorageLevel.MEMORY_AND_DISK)  # one row a chain
+            per = keep(posterior.groupBy("source", "z").agg(F.sum("r").alias("c")), "sums")
+            pooled = keep(per.groupBy("z").agg(((F.sum("c") + START) / (everything + 1)).alias("p")), "priors")  # one row a chain
             prior = per.join(by_source, "source").join(F.broadcast(pooled), "z").select("source", "z", ((F.col("c") + SHRINK * F.col("p")) / (F.col("docs") + SHRINK)).alias("prior"))
             p = F.least(F.greatest(F.col("prior"), F.lit(1e-9)), F.lit(0.5))
-            self.judged = evidence.join(prior, ["source", "z"]).select("doc", "source", "z", (F.col("weight") + F.log(p / (1 - p))).alias("odds")).filter("odds > 0").persist(StorageLevel.MEMORY_AND_DISK)
+            self.judged = keep(evidence.join(prior, ["source", "z"]).select("doc", "source", "z", (F.col("weight") + F.log(p / (1 - p))).alias("odds")).filter("odds > 0"), "judged")
             self.ratios = ratios
             if step + 1 < EM_ROUNDS:  # the model without what it takes for garbled, and with what that was
                 best = self.judged.groupBy("doc").agg(F.max_by("z", "odds").alias("z"), F.max("odds").alias("odds")).filter(F.col("odds") > SURE)
@@ -386,10 +406,10 @@ class Garbled:
     @staticmethod
     def _add(arrays: dict[int, np.ndarray], counts: DataFrame) -> None:
         """To the driver: at most 2^(BITS+1) + 2^16 + 9 numbers, whatever the corpus."""
-        got = counts.toPandas()
+        got = counts.toArrow()
+        kind, i, n = (got.column(c).to_numpy() for c in ("kind", "i", "n"))
         for k, x in arrays.items():
-            part = got[got["kind"] == k]
-            x[part["i"].to_numpy(np.int64)] += part["n"].to_numpy(np.float64)
+            x[i[kind == k]] += n[kind == k]
 
     def found(self) -> DataFrame:
         return self.judged.select("doc").union(self.lost).distinct()
@@ -407,7 +427,7 @@ class Garbled:
                     names.append(", ".join(chains()[z].name for z in zs) or "replacement characters")
                     tokens = list(dict.fromkeys(_TOKEN.findall(text)))
                     # tokens as seen outside of inline code; citations stay as they are
-                    at, which, _, restored = model.value.ratios(tokens, set(zs)) if zs and tokens else ((), (), (), [])
+                    at, which, _, restored = model_of(model).ratios(tokens, set(zs)) if zs and tokens else ((), (), (), [])
                     order = {z: k for k, z in enumerate(zs)}
                     best: dict[str, tuple[int, str]] = {}  # the likeliest chain that restores the token
                     for i, z, o in zip(at, which, restored):
@@ -437,8 +457,8 @@ def _candidates(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             numbers, tokens = b.column(0).to_numpy(), b.column(1).to_pylist()
-            odd = np.flatnonzero(model.value.surprising(tokens))
-            at, z, gain, restored = model.value.ratios([tokens[i] for i in odd], None, HOPELESS) if len(odd) else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), [])
+            odd = np.flatnonzero(model_of(model).surprising(tokens))
+            at, z, gain, restored = model_of(model).ratios([tokens[i] for i in odd], None, HOPELESS) if len(odd) else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), [])
             at = odd[at]
             yield pa.RecordBatch.from_arrays([pa.array(numbers[at], pa.int64()), pa.array(z, pa.int32()), pa.array(gain, pa.float64()), pa.array([tokens[i] for i in at], pa.string()), pa.array(restored, pa.string()), pa.array(map(script_of, restored), pa.int32())], names=_NAMES)
 
@@ -451,7 +471,7 @@ def _ratios(model):
             tokens = b.column(3).to_pylist()
             which = b.column(1).to_numpy()
             # each row is a token and a chain of its own
-            keep, _, gain, _ = model.value.gains(tokens, np.arange(len(tokens)), which, b.column(4).to_pylist(), TOKEN_COST) if tokens else (np.empty(0, np.int64), None, np.empty(0), None)
+            keep, _, gain, _ = model_of(model).gains(tokens, np.arange(len(tokens)), which, b.column(4).to_pylist(), TOKEN_COST) if tokens else (np.empty(0, np.int64), None, np.empty(0), None)
             got = b.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([got.column(0), got.column(1), pa.array(gain, pa.float64()), *got.columns[3:]], names=_NAMES)
 

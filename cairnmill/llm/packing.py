@@ -107,7 +107,7 @@ _OUT = "container_id bigint, place int, doc_id bigint, piece int, first_token bi
 
 
 def packer(path: str, pattern: str, capacity: int):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         enc = encoder(path, pattern)
         rows = rows.sort_values("row")
         docs = rows["doc_id"].tolist()
