@@ -202,7 +202,7 @@ def ontology_schema(spark, folder):
 
 
 def entity_name_search(spark, folder):
-    return live_entities(spark, folder).filter(tx.like_name(F.col("canonical_name"), "Plan_1")).select("id", "canonical_name").orderBy("canonical_name", "id")
+    return live_entities(spark, folder).filter(tx.like_name(F.col("canonical_name"), "Plan_0")).select("id", "canonical_name").orderBy("canonical_name", "id")
 
 
 def concept_lookup(spark, folder):
@@ -486,7 +486,7 @@ SELECT r.folder_scope, CAST(sum(n) AS BIGINT) AS n_records, CAST(coalesce(sum(n)
 SELECT name, CASE WHEN status = 'canonical' OR coalesce(hits, 0) >= 3 THEN 'canonical' ELSE status END AS status, coalesce(hits, 0) AS hits FROM relation_types t LEFT JOIN h ON h.type_id = t.id""",
         "seed_vocabulary": "SELECT name, description, status FROM relation_types WHERE name <> 'causes' UNION ALL SELECT 'causes', 'seeded canonical type: causes', 'canonical'",
         "ontology_schema": f"WITH {_ENTITIES}, {_EDGES} SELECT 'entity' AS kind, name, '' AS status, instance_count FROM ({_TYPE_COUNTS}) UNION ALL SELECT 'relation', name, status, instance_count FROM ({_RELATION_COUNTS})",
-        "entity_name_search": f"WITH {_ENTITIES} SELECT id, canonical_name FROM live_entities WHERE {_FOLD.format('canonical_name')} LIKE '%plan_1%'",
+        "entity_name_search": f"WITH {_ENTITIES} SELECT id, canonical_name FROM live_entities WHERE {_FOLD.format('canonical_name')} LIKE '%plan_0%'",
         "concept_lookup": f"""WITH {_ENTITIES}, {_EDGES}, c AS (SELECT id FROM live_entities WHERE {_FOLD.format('canonical_name')} LIKE '%ledger%' ORDER BY canonical_name, id LIMIT 1)
 SELECT e.id, e.type_id, e.source_entity_id, e.target_entity_id FROM edges e, c WHERE e.source_entity_id = c.id OR e.target_entity_id = c.id""",
         **{f"neighbourhood_d{d}": f"{_reach(d)}, {_ENTITIES} SELECT r.id, r.depth FROM reach r JOIN live_entities e ON e.id = r.id" for d in (1, 2, 3)},
