@@ -5,8 +5,8 @@ without ASCII white space that hold other than ASCII characters, outside of inli
 
 1. One pass over the documents gives each distinct token and which documents hold it.
 2. A character model (bigrams of characters, case changes, frequencies of ideographs) is counted over all tokens into
-   tables of fixed size, which bounds what is sent to workers. Tokens with a surprising pair get a likelihood ratio for
-   every chain that can undo them.
+   tables of fixed size, which bounds what is sent to workers. All tokens get a likelihood ratio for every chain that can
+   undo them: what a chain makes of a token is found once, as no model enters it, and all of it is weighed in each round.
 3. A document's evidence for a chain is the sum over its tokens; priors of chains are estimated for each source, shrunk
    towards all sources together, so weak evidence counts where a source's other records show the same chain.
 4. The model is counted anew with tokens of affected documents replaced by what their chain restores, and 2 and 3 are
@@ -33,8 +33,6 @@ from cairnmill.sources.tables import table
 
 #: Evidence of a token counts beyond this log-likelihood ratio: garbling hits about one token in e^3 of an affected text.
 TOKEN_COST = 3.0
-#: A token is looked at if some pair of its characters is less likely than e^-SURPRISE.
-SURPRISE = 4.5
 #: Prior probability that a document is affected by a given chain, before anything is known, and weight of the pooled estimate in documents.
 START, SHRINK = 1e-4, 50.0
 EM_ROUNDS = 3
@@ -222,6 +220,28 @@ def model_of(sent) -> Model:
     return _models["model"]
 
 
+def undone(tokens: list[str], only: set[int] | None = None) -> tuple[list[int], list[int], list[str]]:
+    """(token number, chain number, restored token) wherever a chain can undo a token, or what stands between its quotes."""
+    at, which, restored = [], [], []
+    beyond = [frozenset(c for c in t if c > "\x7f") for t in tokens]
+    cores = [(i, t, core, frozenset(c for c in core if c > "\x7f")) for i, t in enumerate(tokens) if (core := t.strip(_EDGE)) and len(core) < len(t) and not core.isascii()]
+    for z, c in enumerate(chains()):
+        if only is not None and z not in only:
+            continue
+        undo = c.undo
+        for i, t in enumerate(tokens):
+            if (o := undo(t, beyond[i])) is not None and o != t:
+                at.append(i)
+                which.append(z)
+                restored.append(o)
+        for i, t, core, chars in cores:  # garbled between proper quotes
+            if (o := undo(core, chars)) is not None and o != core:
+                at.append(i)
+                which.append(z)
+                restored.append(t.replace(core, o, 1))
+    return at, which, restored
+
+
 class Model:
     def __init__(self, counts: dict[int, np.ndarray]):
         self.pairs, self.ones, self.pooled, cases = (counts[k] for k in (PAIRS, ONES, POOLED, CASES))
@@ -244,34 +264,15 @@ class Model:
     def scores(self, tokens: list[str]) -> np.ndarray:
         return np.add.reduceat(*self.parts(tokens)) if tokens else np.empty(0)
 
-    def surprising(self, tokens: list[str]) -> np.ndarray:
-        """Whether some character of the token, or the one after it, is unlikely."""
-        return np.minimum.reduceat(*self.parts(tokens)) < -SURPRISE if tokens else np.empty(0, bool)
-
     def ratios(self, tokens: list[str], only: set[int] | None = None, least: float = TOKEN_COST) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
         """(token number, chain number, log-likelihood ratio, restored token) wherever the ratio exceeds `least`."""
-        at, which, restored = [], [], []
-        beyond = [frozenset(c for c in t if c > "\x7f") for t in tokens]
-        cores = [(i, t, core, frozenset(c for c in core if c > "\x7f")) for i, t in enumerate(tokens) if (core := t.strip(_EDGE)) and len(core) < len(t) and not core.isascii()]
-        for z, c in enumerate(chains()):
-            if only is not None and z not in only:
-                continue
-            undo = c.undo
-            for i, t in enumerate(tokens):
-                if (o := undo(t, beyond[i])) is not None and o != t:
-                    at.append(i)
-                    which.append(z)
-                    restored.append(o)
-            for i, t, core, chars in cores:  # garbled between proper quotes
-                if (o := undo(core, chars)) is not None and o != core:
-                    at.append(i)
-                    which.append(z)
-                    restored.append(t.replace(core, o, 1))
+        at, which, restored = undone(tokens, only)
         return self.gains(tokens, np.array(at, np.int64), np.array(which, np.int64), restored, least)
 
     def gains(self, tokens: list[str], at: np.ndarray, which: np.ndarray, restored: list[str], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
         """The best restoration of each token and chain, if its log-likelihood ratio exceeds `least`."""
-        gain = self.scores(restored) - self.scores(tokens)[at] if len(at) else np.empty(0)
+        place = {o: k for k, o in enumerate(dict.fromkeys(restored))}  # chains often agree
+        gain = self.scores(list(place))[[place[o] for o in restored]] - self.scores(tokens)[at] if len(at) else np.empty(0)
         for k, (z, o) in enumerate(zip(which, restored)):
             if o[0] == "\ufeff" and chains()[z].true == "utf_8":
                 gain[k] += MARK
@@ -375,8 +376,8 @@ class Garbled:
         for step in range(EM_ROUNDS):
             self.model = model = spark.sparkContext.broadcast(_sparse(arrays))
             if candidates is None:  # which chains undo which tokens doesn't change with the model
-                candidates = keep(tokens.filter(F.col("t") != lost).select("t", "token").mapInArrow(_candidates(model), _CANDIDATE), "candidates")
-            ratios = keep(candidates.mapInArrow(_ratios(model), _CANDIDATE), "ratios")
+                candidates = keep(tokens.filter(F.col("t") != lost).select("t", "token").mapInArrow(_candidates, "t bigint, token string, z array<int>, restored array<string>"), "candidates")
+            ratios = keep(candidates.mapInArrow(_ratios(model), _RATIO), "ratios")
             weighed = (
                 occurrences.select("doc", "lang", "t", "script")
                 .join(ratios.select("t", "z", "gain", "becomes"), "t")
@@ -447,33 +448,30 @@ def _outside_code(text: str, change) -> str:
     return "".join([*out, change(text[at:])])
 
 
-_CANDIDATE = "t bigint, z int, gain double, token string, restored string, becomes int"
+_RATIO = "t bigint, z int, gain double, token string, restored string, becomes int"
 _NAMES = ["t", "z", "gain", "token", "restored", "becomes"]
-#: Restorations that look so much worse under the first model aren't looked at again.
-HOPELESS = -12.0
 
 
-def _candidates(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            numbers, tokens = b.column(0).to_numpy(), b.column(1).to_pylist()
-            odd = np.flatnonzero(model_of(model).surprising(tokens))
-            at, z, gain, restored = model_of(model).ratios([tokens[i] for i in odd], None, HOPELESS) if len(odd) else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), [])
-            at = odd[at]
-            yield pa.RecordBatch.from_arrays([pa.array(numbers[at], pa.int64()), pa.array(z, pa.int32()), pa.array(gain, pa.float64()), pa.array([tokens[i] for i in at], pa.string()), pa.array(restored, pa.string()), pa.array(map(script_of, restored), pa.int32())], names=_NAMES)
-
-    return run
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each token with all that chains make of it."""
+    for b in batches:
+        at, which, restored = undone(b.column(1).to_pylist())
+        order = np.argsort(np.array(at, np.int64), kind="stable")
+        owner = np.array(at, np.int64)[order]
+        some, first = np.unique(owner, return_index=True)
+        ends = pa.array(np.append(first, len(owner)), pa.int32())
+        z = pa.ListArray.from_arrays(ends, pa.array(np.array(which, np.int32)[order], pa.int32()))
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), b.column(1).take(pa.array(some)), z, pa.ListArray.from_arrays(ends, pa.array([restored[i] for i in order], pa.string()))], names=["t", "token", "z", "restored"])
 
 
 def _ratios(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tokens = b.column(3).to_pylist()
-            which = b.column(1).to_numpy()
-            # each row is a token and a chain of its own
-            keep, _, gain, _ = model_of(model).gains(tokens, np.arange(len(tokens)), which, b.column(4).to_pylist(), TOKEN_COST) if tokens else (np.empty(0, np.int64), None, np.empty(0), None)
-            got = b.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([got.column(0), got.column(1), pa.array(gain, pa.float64()), *got.columns[3:]], names=_NAMES)
+            tokens = b.column(1).to_pylist()
+            at = np.repeat(np.arange(len(tokens)), b.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            at, z, gain, restored = model_of(model).gains(tokens, at, b.column(2).flatten().to_numpy(), b.column(3).flatten().to_pylist(), TOKEN_COST)
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array(z, pa.int32()), pa.array(gain, pa.float64()), b.column(1).take(rows), pa.array(restored, pa.string()), pa.array(map(script_of, restored), pa.int32())], names=_NAMES)
 
     return run
 

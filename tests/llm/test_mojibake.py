@@ -74,3 +74,16 @@ def test_chains_undo_what_they_name():
 
 def test_tokens():
     assert mojibake.tokens_of("a é b `ü` c\tñ\nö") == {"é b", "ñ", "ö"}
+
+
+def test_hot_source(spark):
+    """A third of all rows garbled alike, some of them in one place only: their pairs are ordinary to the first model."""
+    words, hot = CLEAN["fr"].split(), []
+    for i in range(120):
+        turned = words[i % 5 :] + words[: i % 5]
+        places = [k for k, w in enumerate(turned) if not w.isascii()]
+        for k in places if i % 4 else [places[i // 4 % len(places)]]:
+            turned[k] = turned[k].encode().decode("latin_1")
+        hot.append((10_000 + i, " ".join(turned) + f" {i}", "hot", "fr"))
+    g = mojibake.Garbled(spark.createDataFrame(corpus() + hot, "doc bigint, text string, source string, lang string"))
+    assert {r["doc"] for r in g.found().collect()} == {r[0] for r in hot}
