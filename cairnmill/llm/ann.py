@@ -1,8 +1,12 @@
-"""The k most similar vectors of every vector, by an inverted multi-index.
+"""The k most similar vectors of every vector: every query is compared with every entry, in blocks (compare_all).
 
-The two halves of each unit vector are quantised separately; a cell is a pair of centroids. For each query, cells are
-taken in the order of the summed distances of their two centroids, from a heap that starts at the nearest pair, until
-they hold `candidates` vectors; all vectors of those cells are compared exactly.
+So results are exact, and work grows with the square of the entries. Distance bounds of cells don't help: with centroids
+of halves, no cell of the test tables can be ruled out at a cosine of 0.8.
+
+Where a caller gives `candidates`, an inverted multi-index is used instead, which is approximate: the two halves of each
+unit vector are quantised separately; a cell is a pair of centroids. For each query, cells are taken in the order of the
+summed distances of their two centroids, from a heap that starts at the nearest pair, until they hold `candidates`
+vectors; all vectors of those cells are compared.
 
 Exact copies (equal unit vectors) are one entry of the index with all their rows as members, so no group of copies is
 compared with itself. Neighbouring cells are packed into blocks of at most BLOCK_ROWS entries (a cell above that is
@@ -32,11 +36,11 @@ from cairnmill.sources.tables import current_rows, table
 DIM, K = 96, 10
 #: Vectors that fit the centroids of both halves, at most about this many, chosen by hash.
 SAMPLE = 20_000
-#: Entries that a query is compared with, at least (if there are so many).
-CANDIDATES = 4096
 #: Mean entries of a cell, up to MAX_CENTROIDS centroids a half (so the histogram has at most MAX_CENTROIDS^2 rows).
 CELL_ROWS, MAX_CENTROIDS = 128, 256
 BLOCK_ROWS, QUERY_ROWS = 128_000, 32_000
+#: Members whose greatest similarity is taken together for a query's bar.
+GROUP = 64
 
 
 def unit_vectors(rows: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
@@ -198,9 +202,32 @@ def compare(members: np.ndarray, member_ids: np.ndarray, member_cells: np.ndarra
     return r[top], m[top], s[top]
 
 
+def compare_all(members: np.ndarray, member_ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, least: float | None = None):
+    """Top k of all members for each query: (row, entry, similarity); with `least`, only what is about as similar."""
+    out, groups = [], len(members) // GROUP
+    members_t, step = members.T, max(1, 16_000_000 // max(1, len(members)))
+    for s in range(0, len(queries), step):
+        sims = queries[s : s + step] @ members_t
+        bar = np.full(len(sims), -np.inf if least is None else least - 1e-5, np.float32)
+        if groups > k:  # k + 1 groups reach this bar, so the k + 1 best do
+            tops = sims[:, : groups * GROUP].reshape(len(sims), groups, GROUP).max(axis=2)
+            bar = np.maximum(bar, np.partition(tops, groups - k - 1, axis=1)[:, groups - k - 1])
+        r, j = np.nonzero(sims >= bar[:, None])
+        m, sim = member_ids[j], sims[r, j]
+        other = m != query_ids[s + r]
+        r, m, sim = r[other], m[other], sim[other]
+        order = np.lexsort((m, -sim, r))
+        r, m, sim = r[order], m[order], sim[order]
+        top = np.arange(len(r)) - np.searchsorted(r, np.arange(len(sims)))[r] < k
+        out.append((s + r[top], m[top], sim[top]))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 class Neighbours:
-    def __init__(self, vectors: DataFrame, dim: int = DIM, k: int = K, candidates: int = CANDIDATES):
-        """vectors: (key, vec) of unit_vectors()."""
+    def __init__(self, vectors: DataFrame, dim: int = DIM, k: int = K, candidates: int | None = None, least: float | None = None):
+        """vectors: (key, vec) of unit_vectors(). candidates: entries that a query is compared with, at least; all if None. least: neighbours less similar aren't wanted."""
         self.k, self.scratch = k, (s := Scratch(vectors.sparkSession))
         self.rows = rows = s.keep(vectors.withColumn("row", F.monotonically_increasing_id()), "vectors")
         # copies: vectors are only shuffled where their hashes repeat
@@ -210,6 +237,10 @@ class Neighbours:
         self.copies = copies = s.keep(suspects.join(groups, "vec").select("row", "key", "entry"), "copies")
         entries = rows.join(copies.filter("row <> entry").select("row"), "row", "left_anti").select(F.col("row").alias("entry"), "vec")
         n = entries.count()
+        if candidates is None:
+            self.n = n
+            self.found = s.keep(self._best(self._all(entries.select("entry", "vec"), n, dim, k, least), k), "found") if n else None
+            return
         share = max(1, n // SAMPLE)
         sample = [r[0] for r in entries.filter(F.pmod(F.xxhash64("vec"), F.lit(share)) == 0).select("vec").limit(2 * SAMPLE).collect()]
         self.n, self.found = n, None
@@ -261,11 +292,33 @@ class Neighbours:
             return pd.DataFrame({"entry": q[r], "near": m, "sim": sims})
 
         best = members.groupBy("block", "task").cogroup(queries.groupBy("block", "task")).applyInPandas(serve, "entry bigint, near bigint, sim float")
-        merged = best.groupBy("entry").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("sim"), (-F.col("near")).alias("near"))), asc=False), 1, k).alias("near"))
-        # of a query, at most k rows for each block it went to
-        self.found = s.keep(merged.select("entry", F.explode("near").alias("x")).select("entry", (-F.col("x.near")).alias("near"), "x.sim"), "found")
+        self.found = s.keep(self._best(best, k), "found")
         s.drop("asked")
 
+    @staticmethod
+    def _best(best: DataFrame, k: int) -> DataFrame:
+        """Of a query, at most k rows for each block it went to."""
+        merged = best.groupBy("entry").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("sim"), (-F.col("near")).alias("near"))), asc=False), 1, k).alias("near"))
+        return merged.select("entry", F.explode("near").alias("x")).select("entry", (-F.col("x.near")).alias("near"), "x.sim")
+
+    @staticmethod
+    def _all(plain: DataFrame, n: int, dim: int, k: int, least: float | None) -> DataFrame:
+        """Every block of members meets every part of the queries in a task of its own."""
+        blocks, parts = -(-n // BLOCK_ROWS), -(-n // QUERY_ROWS)
+        of = lambda c, count: F.pmod(F.xxhash64(c), F.lit(count)).cast("int")
+        each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+        members = plain.withColumn("block", of("entry", blocks)).withColumn("task", each(parts))
+        queries = plain.select(F.col("entry").alias("query"), F.col("vec").alias("asked")).withColumn("part", of("query", parts)).withColumn("of", each(blocks))
+
+        def serve(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if not len(left) or not len(right):
+                return pd.DataFrame({"entry": pd.Series(dtype="int64"), "near": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float32")})
+            q = right["query"].to_numpy()
+            r, m, sims = compare_all(matrix(left["vec"], dim), left["entry"].to_numpy(), matrix(right["asked"], dim), q, k, least)
+            return pd.DataFrame({"entry": q[r], "near": m, "sim": sims})
+
+        return members.groupBy("block", "task").cogroup(queries.groupBy("of", "part")).applyInPandas(serve, "entry bigint, near bigint, sim float")
+
     def pairs(self, least: float | None = None) -> DataFrame:
         """(key, near, similarity, rank): the k most similar other rows of every row, best first; only those of at least `least`."""
         k = self.k
@@ -287,9 +340,9 @@ class Neighbours:
         return kept.join(lists, "entry").select("key", F.posexplode(ranked).alias("_p", "_x")).select("key", F.col("_x.near").alias("near"), (-F.col("_x.s")).alias("similarity"), (F.col("_p") + 1).alias("rank"))
 
 
-def neighbours(spark: SparkSession, folder: str) -> Neighbours:
+def neighbours(spark: SparkSession, folder: str, least: float | None = None) -> Neighbours:
     now = current_rows(table(spark, folder, "chunks"), "embedding")
-    return Neighbours(unit_vectors(now, "id", "embedding", DIM))
+    return Neighbours(unit_vectors(now, "id", "embedding", DIM), least=least)
 
 
 def knn(spark: SparkSession, folder: str) -> DataFrame:
@@ -298,5 +351,5 @@ def knn(spark: SparkSession, folder: str) -> DataFrame:
 
 def found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of similarity 0.8 and more. The rank of such a neighbour only depends on neighbours at least as similar."""
-    p = neighbours(spark, folder).pairs(least=0.8)
+    p = neighbours(spark, folder, 0.8).pairs(least=0.8)
     return p.select(F.least("key", "near").alias("chunk_id_a"), F.greatest("key", "near").alias("chunk_id_b")).distinct()
