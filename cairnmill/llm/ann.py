@@ -1,19 +1,20 @@
-"""The k most similar vectors of every vector: every query is compared with every entry, in blocks (compare_all).
+"""The k most similar vectors of every vector, by an inverted multi-index.
 
-So results are exact, and work grows with the square of the entries. Distance bounds of cells don't help: with centroids
-of halves, no cell of the test tables can be ruled out at a cosine of 0.8.
+The two halves of each unit vector are quantised separately; a cell is a pair of centroids. For each query, cells are
+taken in the order of the summed distances of their two centroids, from a heap that starts at the nearest pair, until
+they hold enough vectors; all vectors of those cells are compared.
 
-Where a caller gives `candidates`, an inverted multi-index is used instead, which is approximate: the two halves of each
-unit vector are quantised separately; a cell is a pair of centroids. For each query, cells are taken in the order of the
-summed distances of their two centroids, from a heap that starts at the nearest pair, until they hold `candidates`
-vectors; all vectors of those cells are compared.
+How many are enough isn't fixed but measured: CALIBRATE queries are compared with every entry, and the traversal
+goes as far as RECALL of their true neighbours lie, times MARGIN. So the searched share follows the data at every size;
+recall() measures the result against brute force, and exact=True compares everything with everything.
 
-Exact copies (equal unit vectors) are one entry of the index with all their rows as members, so no group of copies is
-compared with itself. Neighbouring cells are packed into blocks of at most BLOCK_ROWS entries (a cell above that is
-cut into several); a query goes once to each block that holds any of its cells, and a block with many queries is served
-by several tasks. So no task holds more than BLOCK_ROWS entries and about QUERY_ROWS queries.
+The number of centroids grows with the root of the entries up to MAX_CENTROIDS a half, which bounds what is sent to the
+workers (three numbers a cell). Exact copies (equal unit vectors) are one entry of the index with all their rows as
+members, so no group of copies is compared with itself. Neighbouring cells are packed into blocks by the number of entries
+for each core, BLOCK_ROWS at most (a cell above that is cut into several); a query goes once to each block that holds
+any of its cells, and the queries of a block are dealt to tasks by load, each task in a partition of its own.
 
-Bounded, documented sample: SAMPLE vectors fit the centroids. All vectors are indexed and queried.
+Bounded, documented samples: SAMPLE vectors fit the centroids, CALIBRATE queries set the depth. All vectors are indexed and queried.
 
 Defined results: only vectors of `dim` finite values that aren't all zero take part; equal similarities are
 ordered by id; a row is never its own neighbour; with fewer than k others, all of them come out; empty tables give none.
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnmill.session import Scratch
@@ -36,9 +37,11 @@ from cairnmill.sources.tables import current_rows, table
 DIM, K = 96, 10
 #: Vectors that fit the centroids of both halves, at most about this many, chosen by hash.
 SAMPLE = 20_000
-#: Mean entries of a cell, up to MAX_CENTROIDS centroids a half (so the histogram has at most MAX_CENTROIDS^2 rows).
-CELL_ROWS, MAX_CENTROIDS = 128, 256
+#: Mean entries of a cell, up to MAX_CENTROIDS centroids a half (so there are at most MAX_CENTROIDS^2 cells).
+CELL_ROWS, MAX_CENTROIDS = 64, 2048
 BLOCK_ROWS, QUERY_ROWS = 128_000, 32_000
+#: Queries, at most about this many, whose true neighbours set how far every traversal goes: as far as RECALL of them, times MARGIN.
+CALIBRATE, RECALL, MARGIN = 512, 0.99, 1.5
 #: Members whose greatest similarity is taken together for a query's bar.
 GROUP = 64
 
@@ -120,25 +123,51 @@ class MultiIndex:
         a, b = self.distances(x)
         return a.argmin(axis=1) * self.k + b.argmin(axis=1)
 
-    def pack(self, counts: dict[int, int]) -> None:
-        """Cells to blocks in order; block_of gives a cell's first block and its number of parts."""
-        self.counts = np.zeros(len(self.one) * self.k, np.int64)
-        for cell, n in counts.items():
-            self.counts[cell] = n
-        self.first, self.parts = np.zeros(len(self.counts), np.int64), np.ones(len(self.counts), np.int64)
+    def count(self, cells: np.ndarray, counts: np.ndarray) -> None:
+        self.counts = np.zeros(len(self.one) * self.k, np.int32)
+        self.counts[cells] = counts
+
+    def pack(self, block_rows: int) -> None:
+        """Cells to blocks in order; `first` is a cell's first block, `parts` its number of parts."""
+        self.first, self.parts = np.zeros(len(self.counts), np.int32), np.ones(len(self.counts), np.int32)
         block, held = 0, 0
         for cell in np.flatnonzero(self.counts):
             n = int(self.counts[cell])
-            if held and held + n > BLOCK_ROWS:
+            if held and held + n > block_rows:
                 block, held = block + 1, 0
             self.first[cell] = block
-            if n > BLOCK_ROWS:
-                self.parts[cell] = -(-n // BLOCK_ROWS)
+            if n > block_rows:
+                self.parts[cell] = -(-n // block_rows)
                 block, held = block + int(self.parts[cell]), 0
             else:
                 held += n
         self.blocks = block + 1
 
+    def deal(self, load: np.ndarray, tasks: int) -> None:
+        """Tasks of each block by its share of the load; `offset` is a block's first task."""
+        share = load / max(1.0, load.sum())
+        self.tasks = np.maximum(1, np.ceil(share * tasks)).astype(np.int32)
+        self.offset = (np.cumsum(self.tasks) - self.tasks).astype(np.int32)
+
+    def depth(self, x: np.ndarray, cells: list[np.ndarray]) -> np.ndarray:
+        """For each row of x and each of its given cells, how many entries a traversal meets until it has that cell."""
+        a, b = self.distances(x)
+        out = []
+        for i, wanted in enumerate(cells):
+            d = a[i][:, None] + b[i][None, :]
+            of, back = np.unique(wanted, return_inverse=True)
+            met = np.array([int(self.counts[(d <= d[c // self.k, c % self.k]).ravel()].sum()) for c in of], np.int64)
+            out.append(met[back])
+        return np.concatenate(out) if out else np.empty(0, np.int64)
+
+    def blocks_of(self, cells: list[int]) -> dict[int, list[int]]:
+        """The cells of each block that holds any of them; a cell in parts is in several."""
+        to: dict[int, list[int]] = {}
+        for c, first, parts in zip(cells, self.first[cells].tolist(), self.parts[cells].tolist()):
+            for p in range(parts):
+                to.setdefault(first + p, []).append(c)
+        return to
+
     def traverse(self, x: np.ndarray, candidates: int) -> Iterator[list[int]]:
         """For each row of x, the cells to compare it with: nearest pair first, until they hold enough entries."""
         a, b = self.distances(x)
@@ -161,8 +190,8 @@ class MultiIndex:
             yield out
 
 
-def compare(members: np.ndarray, member_ids: np.ndarray, member_cells: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, probes: list, k: int):
-    """Top k entries of one block for each query: (row, entry, similarity), entries of a query in any order."""
+def compare(members: np.ndarray, member_ids: np.ndarray, member_cells: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, probes: list, k: int, least: float | None = None):
+    """Top k entries of one block for each query: (row, entry, similarity); with `least`, only what is about as similar."""
     order = np.argsort(member_cells, kind="stable")
     members, member_ids, member_cells = members[order], member_ids[order], member_cells[order]
     lengths = np.fromiter(map(len, probes), np.int64, len(probes))
@@ -170,7 +199,8 @@ def compare(members: np.ndarray, member_ids: np.ndarray, member_cells: np.ndarra
     cells = np.concatenate([np.asarray(p, np.int64) for p in probes])
     nearest = np.zeros(len(rows), bool)
     nearest[np.cumsum(lengths) - lengths] = True  # a query's cells come nearest first
-    bar = np.full(len(queries), -np.inf, np.float32)  # the (k + 1)-th best of its first cell of more than k
+    floor = np.float32(-np.inf if least is None else least - 1e-5)
+    bar = np.full(len(queries), floor, np.float32)  # the (k + 1)-th best of its first cell of more than k
     keep_r, keep_m, keep_s = [], [], []
     for turn in (nearest, ~nearest):  # the nearest cells set bars that little of the others passes
         by_cell = np.flatnonzero(turn)
@@ -183,7 +213,7 @@ def compare(members: np.ndarray, member_ids: np.ndarray, member_cells: np.ndarra
             for s in range(a, b if hi > lo else a, step):
                 r = r_of[s : min(b, s + step)]
                 sims = queries[r] @ members[lo:hi].T
-                fresh = np.flatnonzero(np.isneginf(bar[r]))
+                fresh = np.flatnonzero(bar[r] == floor) if least is None else ()
                 if len(fresh) and hi - lo > k:
                     bar[r[fresh]] = np.partition(sims[fresh], hi - lo - k - 1, axis=1)[:, hi - lo - k - 1]
                 i, j = np.nonzero(sims >= bar[r][:, None])
@@ -225,75 +255,136 @@ def compare_all(members: np.ndarray, member_ids: np.ndarray, queries: np.ndarray
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+_SERVED = pa.schema([("entry", pa.int64()), ("near", pa.int64()), ("sim", pa.float32())])
+
+
 class Neighbours:
-    def __init__(self, vectors: DataFrame, dim: int = DIM, k: int = K, candidates: int | None = None, least: float | None = None):
-        """vectors: (key, vec) of unit_vectors(). candidates: entries that a query is compared with, at least; all if None. least: neighbours less similar aren't wanted."""
-        self.k, self.scratch = k, (s := Scratch(vectors.sparkSession))
+    def __init__(self, vectors: DataFrame, dim: int = DIM, k: int = K, exact: bool = False, least: float | None = None):
+        """vectors: (key, vec) of unit_vectors(). exact: brute force instead of the index. least: neighbours less similar aren't wanted."""
+        self.k, self.dim, self.scratch = k, dim, (s := Scratch(vectors.sparkSession))
         self.rows = rows = s.keep(vectors.withColumn("row", F.monotonically_increasing_id()), "vectors")
         # copies: vectors are only shuffled where their hashes repeat
         again = rows.groupBy(F.xxhash64("vec").alias("_h")).count().filter("count > 1").select("_h")
         suspects = rows.withColumn("_h", F.xxhash64("vec")).join(again, "_h", "left_semi").select("vec", "row", "key")
         groups = suspects.groupBy("vec").agg(F.min("row").alias("entry"), F.count("*").alias("n")).filter("n > 1").drop("n")
         self.copies = copies = s.keep(suspects.join(groups, "vec").select("row", "key", "entry"), "copies")
-        entries = rows.join(copies.filter("row <> entry").select("row"), "row", "left_anti").select(F.col("row").alias("entry"), "vec")
-        n = entries.count()
-        if candidates is None:
-            self.n = n
-            self.found = s.keep(self._best(self._all(entries.select("entry", "vec"), n, dim, k, least), k), "found") if n else None
-            return
-        share = max(1, n // SAMPLE)
-        sample = [r[0] for r in entries.filter(F.pmod(F.xxhash64("vec"), F.lit(share)) == 0).select("vec").limit(2 * SAMPLE).collect()]
-        self.n, self.found = n, None
-        if not n:
-            return
-        index = MultiIndex(matrix(sample or [entries.first()["vec"]], dim).copy(), n)
-
-        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        self.entries = plain = rows.join(copies.filter("row <> entry").select("row"), "row", "left_anti").select(F.col("row").alias("entry"), "vec")
+        n = plain.count()
+        self.n, self.found, self.candidates = n, None, None
+        if n:
+            self.found = s.keep(self._best(self._all(plain, n, plain, n, dim, k, least) if exact else self._search(least), k), "found")
+
+    def _sample(self, about: int, salt: int) -> DataFrame:
+        """About so many entries, chosen by hash; all if there are fewer."""
+        share = max(1, self.n // about)
+        return self.entries.filter(F.pmod(F.xxhash64("vec", F.lit(salt)), F.lit(share)) == 0).limit(2 * about)
+
+    def _search(self, least: float | None) -> DataFrame:
+        plain, n, dim, k = self.entries, self.n, self.dim, self.k
+        context = plain.sparkSession.sparkContext
+        sample = self._sample(SAMPLE, 0).select("vec").collect() or [plain.select("vec").first()]
+        index = MultiIndex(matrix([r[0] for r in sample], dim).copy(), n)
+        centroids = context.broadcast(index)
+
+        def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                x = matrix(b.column(1).to_pylist(), dim)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(index.cells(x) if len(x) else np.empty(0, np.int64), pa.int64())], names=["entry", "vec", "cell"])
-
-        plain = entries.select("entry", "vec")
-        celled = plain.mapInArrow(assign, "entry bigint, vec binary, cell bigint")
-        index.pack({r["cell"]: r["count"] for r in celled.groupBy("cell").count().collect()})  # at most MAX_CENTROIDS^2 rows
-
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in assign(batches):
-                cell = b.column(2).to_numpy()
-                part = b.column(0).to_numpy() % index.parts[cell]
-                yield pa.RecordBatch.from_arrays([pa.array(index.first[cell] + part, pa.int64()), *b.columns], names=["block", "entry", "vec", "cell"])
-
-        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                cell = centroids.value.cells(matrix(b.column(0).to_pylist(), dim)) if b.num_rows else np.empty(0, np.int64)
+                some, counts = np.unique(cell, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts, pa.int64())], names=["cell", "n"])
+
+        counted = plain.select("vec").mapInArrow(cells, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most MAX_CENTROIDS^2 rows
+        index.count(counted.column("cell").to_numpy(), counted.column("n").to_numpy())
+        cores = context.defaultParallelism
+        index.pack(int(min(BLOCK_ROWS, max(4000, n // (2 * cores)))))
+        asked = self._sample(CALIBRATE, 1).collect() or [plain.first()]
+        queries = matrix([r["vec"] for r in asked], dim)
+        near: dict[int, list[int]] = {r["entry"]: [] for r in asked}
+        for r in self._best(self._exact([r["entry"] for r in asked], queries, centroids), k).select("entry", "near").collect():  # k rows a query; near is a cell
+            near[r["entry"]].append(r["near"] >> 40)
+        met = index.depth(queries, [np.array(near[r["entry"]], np.int64) for r in asked])
+        self.candidates = int(np.ceil(np.quantile(met, RECALL) * MARGIN)) if len(met) else 1
+        traversed = list(index.traverse(queries, self.candidates))
+        load = np.bincount([b for c in traversed for b in index.blocks_of(c)], minlength=index.blocks)
+        index.deal(load.astype(float), int(max(4 * cores, n * load.sum() / len(asked) / QUERY_ROWS)))
+        whole, candidates = context.broadcast(index), self.candidates
+        centroids.unpersist()
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Each entry to the tasks of its block, as a member, and once to each block that it asks, as a query."""
+            ix = whole.value
+            names = ["task", "asks", "entry", "vec", "cells"]
             for b in batches:
+                if not b.num_rows:
+                    continue
                 ids, vecs = b.column(0).to_numpy(), b.column(1)
+                x = matrix(vecs.to_pylist(), dim)
+                cell = ix.cells(x)
+                block = ix.first[cell] + ids % ix.parts[cell]
+                copies = ix.tasks[block]
+                at = np.repeat(np.arange(len(ids)), copies)
+                task = ix.offset[block][at] + np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
+                one = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1), pa.int32()), pa.array(cell[at], pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(task, pa.int32()), pa.array(np.zeros(len(at), bool)), pa.array(ids[at]), vecs.take(pa.array(at)), one], names=names)
                 at, blocks, lists = [], [], []
-                for i, cells in enumerate(index.traverse(matrix(vecs.to_pylist(), dim), candidates) if len(ids) else ()):
-                    to: dict[int, list[int]] = {}
-                    for c in cells:
-                        for p in range(index.parts[c]):
-                            to.setdefault(int(index.first[c]) + p, []).append(c)
+                for i, found in enumerate(ix.traverse(x, candidates)):
+                    to = ix.blocks_of(found)
                     at += [i] * len(to)
                     blocks += to
                     lists += to.values()
-                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(ids[at], pa.int64()), vecs.take(pa.array(at, pa.int64())), pa.array(lists, pa.list_(pa.int32()))], names=["block", "entry", "vec", "cells"])
-
-        asked = s.keep(plain.mapInArrow(ask, "block bigint, entry bigint, vec binary, cells array<int>"), "asked")
-        per_block = asked.groupBy("block").count()
-        tasks = per_block.select("block", F.ceil(F.col("count") / QUERY_ROWS).cast("int").alias("tasks"))  # one row a block
-        placed = plain.mapInArrow(place, "block bigint, entry bigint, vec binary, cell bigint")
-        members = placed.join(tasks, "block").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
-        queries = asked.join(tasks, "block").withColumn("task", F.pmod(F.xxhash64("entry"), F.col("tasks")).cast("int")).drop("tasks")
-
-        def serve(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if not len(left) or not len(right):
-                return pd.DataFrame({"entry": pd.Series(dtype="int64"), "near": pd.Series(dtype=object)})
-            q = right["entry"].to_numpy()
-            r, m, sims = compare(matrix(left["vec"], dim), left["entry"].to_numpy(), left["cell"].to_numpy(), matrix(right["vec"], dim), q, list(right["cells"]), k)
-            return pd.DataFrame({"entry": q[r], "near": m, "sim": sims})
-
-        best = members.groupBy("block", "task").cogroup(queries.groupBy("block", "task")).applyInPandas(serve, "entry bigint, near bigint, sim float")
-        self.found = s.keep(self._best(best, k), "found")
-        s.drop("asked")
+                at, blocks = np.array(at, np.int64), np.array(blocks, np.int64)
+                task = ix.offset[blocks] + (ids[at] * 2_654_435_761 >> 7) % ix.tasks[blocks]
+                yield pa.RecordBatch.from_arrays([pa.array(task, pa.int32()), pa.array(np.ones(len(at), bool)), pa.array(ids[at]), vecs.take(pa.array(at)), pa.array(lists, pa.list_(pa.int32()))], names=names)
+
+        def serve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """One task: the members of a block and the queries dealt to it."""
+            got = list(batches)
+            if not got:
+                return
+            rows = pa.Table.from_batches(got)
+            for task in np.unique(rows.column("task").to_numpy()):
+                of = rows.filter(pa.array(rows.column("task").to_numpy() == task))
+                asks = of.column("asks").to_numpy()
+                m, q = of.filter(pa.array(~asks)), of.filter(pa.array(asks))
+                if not m.num_rows or not q.num_rows:
+                    continue
+                ids = q.column("entry").to_numpy()
+                member_cells = m.column("cells").combine_chunks().flatten().to_numpy()
+                probes = np.split(q.column("cells").combine_chunks().flatten().to_numpy(), np.cumsum(q.column("cells").combine_chunks().value_lengths().to_numpy())[:-1])
+                r, near, sims = compare(matrix(m.column("vec").to_pylist(), dim), m.column("entry").to_numpy(), member_cells, matrix(q.column("vec").to_pylist(), dim), ids, probes, k, least)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(near), pa.array(sims)], schema=_SERVED)
+
+        sent = plain.mapInArrow(send, "task int, asks boolean, entry bigint, vec binary, cells array<int>")
+        return sent.repartitionById(int(index.tasks.sum()), "task").mapInArrow(serve, "entry bigint, near bigint, sim float")
+
+    def _exact(self, ids: list[int], queries: np.ndarray, centroids) -> DataFrame:
+        """The true neighbours of a bounded set of queries: (entry, near, sim); near is the neighbour's cell << 40, with its row to tell neighbours apart."""
+        k, dim = self.k, self.dim
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x, rows = matrix(b.column(1).to_pylist(), dim), b.column(0).to_numpy()
+                r, m, sims = compare_all(x, np.arange(len(rows)), queries, np.full(len(ids), -1), k + 1)
+                other = rows[m] != np.array(ids)[r]
+                r, m, sims = r[other], m[other], sims[other]
+                cell = centroids.value.cells(x[m]) if len(m) else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[r], pa.int64()), pa.array(cell << 40 | rows[m] & (1 << 40) - 1, pa.int64()), pa.array(sims)], schema=_SERVED)
+
+        return self.entries.mapInArrow(run, "entry bigint, near bigint, sim float")
+
+    def recall(self, chosen: DataFrame) -> DataFrame:
+        """One row (n_queries, n_true, recall): the share of the true neighbours of the chosen keys (key) that the index found."""
+        asked = self.rows.join(chosen.select("key").distinct(), "key", "left_semi").select(F.col("row").alias("entry"), "vec")
+        asked = self.scratch.keep(asked.join(self.copies.filter("row <> entry").select(F.col("row").alias("entry")), "entry", "left_anti"), "chosen")
+        m = asked.count()
+        if not m:
+            return asked.agg(F.count("*").alias("n_queries"), F.count("*").alias("n_true"), F.lit(1.0).alias("recall"))
+        true = self._best(self._all(self.entries, self.n, asked, m, self.dim, self.k, None), self.k)
+        worst = true.groupBy("entry").agg(F.min("sim").alias("worst"), F.count("*").alias("n"))
+        hits = self.found.join(worst, "entry").groupBy("entry").agg(F.sum((F.col("sim") >= F.col("worst") - 1e-6).cast("int")).alias("hits"))
+        per = worst.join(hits, "entry", "left").select("n", F.least("n", F.coalesce("hits", F.lit(0))).alias("hits"))
+        return per.agg(F.count("*").alias("n_queries"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_true"), F.coalesce(F.sum("hits") / F.sum("n"), F.lit(1.0)).alias("recall"))
 
     @staticmethod
     def _best(best: DataFrame, k: int) -> DataFrame:
@@ -302,13 +393,13 @@ class Neighbours:
         return merged.select("entry", F.explode("near").alias("x")).select("entry", (-F.col("x.near")).alias("near"), "x.sim")
 
     @staticmethod
-    def _all(plain: DataFrame, n: int, dim: int, k: int, least: float | None) -> DataFrame:
-        """Every block of members meets every part of the queries in a task of its own."""
-        blocks, parts = -(-n // BLOCK_ROWS), -(-n // QUERY_ROWS)
+    def _all(entries: DataFrame, n: int, asked: DataFrame, m: int, dim: int, k: int, least: float | None) -> DataFrame:
+        """Every block of entries meets every part of the queries in a task of its own."""
+        blocks, parts = -(-n // BLOCK_ROWS), -(-m // QUERY_ROWS)
         of = lambda c, count: F.pmod(F.xxhash64(c), F.lit(count)).cast("int")
         each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-        members = plain.withColumn("block", of("entry", blocks)).withColumn("task", each(parts))
-        queries = plain.select(F.col("entry").alias("query"), F.col("vec").alias("asked")).withColumn("part", of("query", parts)).withColumn("of", each(blocks))
+        members = entries.withColumn("block", of("entry", blocks)).withColumn("task", each(parts))
+        queries = asked.select(F.col("entry").alias("query"), F.col("vec").alias("asked")).withColumn("part", of("query", parts)).withColumn("of", each(blocks))
 
         def serve(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
@@ -349,6 +440,20 @@ def knn(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours(spark, folder).pairs().withColumnsRenamed({"key": "chunk_id", "near": "near_chunk_id"})
 
 
+def hundredth(key: Column) -> Column:
+    """Whether a UUID, taken as a number, is divisible by 100."""
+    rest = F.lit(0).cast("long")
+    for part in range(4):
+        rest = (rest * (2**32 % 100) + F.conv(F.substring(F.replace(key, F.lit("-"), F.lit("")), 8 * part + 1, 8), 16, 10).cast("long")) % 100
+    return rest == 0
+
+
+def recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Recall at ten, of all live chunks whose id is divisible by 100 against all rows."""
+    n = neighbours(spark, folder)
+    return n.recall(n.rows.filter(hundredth(F.col("key"))))
+
+
 def found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of similarity 0.8 and more. The rank of such a neighbour only depends on neighbours at least as similar."""
     p = neighbours(spark, folder, 0.8).pairs(least=0.8)

@@ -10,6 +10,7 @@ def queries():
     return {
         "p4_found": ann.found,
         "p4_knn": ann.knn,
+        "p4_recall": ann.recall,
         "p5_found": split.found,
         "p5_pieces": split.pieces,
         "p6_ids": lambda spark, folder: bpe.encode_column(table(spark, folder, "documents"), "doc_id", "text"),
