@@ -40,6 +40,8 @@ SAMPLE = 20_000
 #: Mean entries of a cell, up to MAX_CENTROIDS centroids a half (so there are at most MAX_CENTROIDS^2 cells).
 CELL_ROWS, MAX_CENTROIDS = 64, 2048
 BLOCK_ROWS, QUERY_ROWS = 128_000, 32_000
+#: Regions that cells are packed by.
+COARSE = 256
 #: Queries, at most about this many, whose true neighbours set how far every traversal goes: as far as RECALL of them, times MARGIN.
 CALIBRATE, RECALL, MARGIN = 512, 0.99, 1.5
 #: Members whose greatest similarity is taken together for a query's bar.
@@ -109,11 +111,18 @@ class MultiIndex:
         self.dim, self.half = sample.shape[1], sample.shape[1] // 2
         k = int(min(MAX_CENTROIDS, max(1, len(sample) // 8), max(2, round((n / CELL_ROWS) ** 0.5))))
         self.one, self.two = fit(sample[:, : self.half], k), fit(sample[:, self.half :], k)
-        # renumbered along the chains: cells near in space are near in number
-        for name in ("one", "two"):
-            c = getattr(self, name)
-            setattr(self, name, c[np.argsort(chain(c))])
         self.k = len(self.two)
+        coarse = fit(sample, min(COARSE, max(1, len(sample) // 16)))
+        self.coarse = coarse[np.argsort(chain(coarse))]
+
+    def regions(self, cells: np.ndarray) -> np.ndarray:
+        """The coarse centroid of whole vectors that is nearest to each cell's pair of centroids, numbered along their chain."""
+        out, c = np.empty(len(cells), np.int64), (self.coarse * self.coarse).sum(axis=1)
+        for s in range(0, len(cells), 100_000):
+            at = cells[s : s + 100_000]
+            pair = np.concatenate([self.one[at // self.k], self.two[at % self.k]], axis=1)
+            out[s : s + len(at)] = (c - 2 * pair @ self.coarse.T).argmin(axis=1)
+        return out
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = x[:, : self.half], x[:, self.half :]
@@ -126,22 +135,34 @@ class MultiIndex:
     def count(self, cells: np.ndarray, counts: np.ndarray) -> None:
         self.counts = np.zeros(len(self.one) * self.k, np.int32)
         self.counts[cells] = counts
+        self.order = None
 
     def pack(self, block_rows: int) -> None:
-        """Cells to blocks in order; `first` is a cell's first block, `parts` its number of parts."""
+        """Cells to blocks of about block_rows entries, region by region; `first` is a cell's first block, `parts` its number of parts."""
         self.first, self.parts = np.zeros(len(self.counts), np.int32), np.ones(len(self.counts), np.int32)
-        block, held = 0, 0
-        for cell in np.flatnonzero(self.counts):
-            n = int(self.counts[cell])
-            if held and held + n > block_rows:
-                block, held = block + 1, 0
-            self.first[cell] = block
-            if n > block_rows:
-                self.parts[cell] = -(-n // block_rows)
-                block, held = block + int(self.parts[cell]), 0
-            else:
-                held += n
-        self.blocks = block + 1
+        if self.order is None:
+            some = np.flatnonzero(self.counts)
+            self.order = some[np.argsort(self.regions(some), kind="stable")]
+        n = self.counts[self.order].astype(np.int64)
+        end = np.cumsum(n)
+        large = n > block_rows // 8  # may be cut where a block ends
+        first = np.where(large, (end - n) // block_rows, (end - n // 2 - 1) // block_rows)
+        self.first[self.order] = first
+        self.parts[self.order] = np.where(large, (end - 1) // block_rows - first + 1, 1)
+        self.blocks = int((end[-1] - 1) // block_rows) + 1
+
+    def plan(self, traversed: list[list[int]], n: int, cores: int) -> None:
+        """Block size and tasks that send the fewest rows, with a task for each core and no task above its bounds."""
+        best, most = None, min(BLOCK_ROWS, n)
+        for rows in {-(-most // m): None for m in (1, 2, 3, 4, 6, 8, 12, 16, 32, 64)}:
+            self.pack(rows)
+            load = np.bincount([b for c in traversed for b in self.blocks_of(c)], minlength=self.blocks) * (n / len(traversed))
+            self.deal(load, int(max(cores, load.sum() / QUERY_ROWS)))
+            sent = load.sum() + self.tasks.sum() / self.blocks * n
+            if best is None or sent < best[0]:
+                best = sent, rows, load
+        self.pack(best[1])
+        self.deal(best[2], int(max(cores, best[2].sum() / QUERY_ROWS)))
 
     def deal(self, load: np.ndarray, tasks: int) -> None:
         """Tasks of each block by its share of the load; `offset` is a block's first task."""
@@ -294,8 +315,6 @@ class Neighbours:
 
         counted = plain.select("vec").mapInArrow(cells, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most MAX_CENTROIDS^2 rows
         index.count(counted.column("cell").to_numpy(), counted.column("n").to_numpy())
-        cores = context.defaultParallelism
-        index.pack(int(min(BLOCK_ROWS, max(4000, n // (2 * cores)))))
         asked = self._sample(CALIBRATE, 1).collect() or [plain.first()]
         queries = matrix([r["vec"] for r in asked], dim)
         near: dict[int, list[int]] = {r["entry"]: [] for r in asked}
@@ -303,9 +322,7 @@ class Neighbours:
             near[r["entry"]].append(r["near"] >> 40)
         met = index.depth(queries, [np.array(near[r["entry"]], np.int64) for r in asked])
         self.candidates = int(np.ceil(np.quantile(met, RECALL) * MARGIN)) if len(met) else 1
-        traversed = list(index.traverse(queries, self.candidates))
-        load = np.bincount([b for c in traversed for b in index.blocks_of(c)], minlength=index.blocks)
-        index.deal(load.astype(float), int(max(4 * cores, n * load.sum() / len(asked) / QUERY_ROWS)))
+        index.plan(list(index.traverse(queries, self.candidates)), n, context.defaultParallelism)
         whole, candidates = context.broadcast(index), self.candidates
         centroids.unpersist()
 
