@@ -1,17 +1,20 @@
 """Garbled text from a wrong character encoding: found and restored by expectation-maximisation over encoding chains.
 
-A chain says how text was garbled: bytes of one encoding read as another, once or twice. Evidence lies in tokens, runs
-without ASCII white space that hold other than ASCII characters, outside of inline code (which may cite garbled text).
+A chain says how text was garbled: bytes of one encoding read as another, once or several times. Evidence lies in tokens,
+runs without ASCII white space that hold other than ASCII characters, outside of inline code (which may cite garbled text).
 
-1. One pass over the documents gives each distinct token and which documents hold it.
+1. One pass over the documents gives each distinct token and which documents hold it; what any chain makes of a token is
+   found once, as no model enters it.
 2. A character model (bigrams of characters, case changes, frequencies of ideographs) is counted over all tokens into
-   tables of fixed size, which bounds what is sent to workers. All tokens get a likelihood ratio for every chain that can
-   undo them: what a chain makes of a token is found once, as no model enters it, and all of it is weighed in each round.
-3. A document's evidence for a chain is the sum over its tokens; priors of chains are estimated for each source, shrunk
-   towards all sources together, so weak evidence counts where a source's other records show the same chain.
-4. The model is counted anew with tokens of affected documents replaced by what their chain restores, and 2 and 3 are
-   repeated (EM). A document is affected if the posterior odds of some chain exceed one, or it holds a replacement
-   character outside of inline code (bytes were lost there).
+   tables of fixed size, which bounds what is sent to workers. All restorations are weighed anew under the model of each round.
+3. E-step: a document is clean or garbled by one latent chain, with the prior that its source has for each chain. Under
+   a chain, a token is garbled with probability e^-TOKEN_COST, so its evidence is log(1 - p + p e^gain): weak evidence counts
+   a little, and a source's many records with little evidence each add up in the prior. The posterior runs
+   over all chains and `clean` together. Replacement characters are a chain of their own (bytes were lost), with fixed evidence.
+4. M-step: priors of chains by source, shrunk to those of all sources; the character model is counted with each token moved
+   to what it was, by its posterior. Rounds end when the expected number of affected documents moves by less than TOLERANCE.
+5. A document is affected if `clean` has less than half of its posterior. Repair is a mixture within the document: every
+   token chooses among all chains and `as it is`, weights of chains being fitted to the document's tokens.
 
 Defined results: null, empty and ASCII texts are not affected; texts are processed whole; repeated texts are each
 judged by their own source; null sources form one source, null languages one language; restored text is null if none of it could be restored.
@@ -20,30 +23,35 @@ judged by their own source; null sources form one source, null languages one lan
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnmill.session import Scratch
 from cairnmill.sources.tables import table
 
-#: Evidence of a token counts beyond this log-likelihood ratio: garbling hits about one token in e^3 of an affected text.
+#: Garbling hits about one token in e^3 of an affected text.
 TOKEN_COST = 3.0
 #: Prior probability that a document is affected by a given chain, before anything is known, and weight of the pooled estimate in documents.
 START, SHRINK = 1e-4, 50.0
-EM_ROUNDS = 3
-#: Evidence added where UTF-8 restores a byte-order mark: only an encoding puts one there.
-MARK = 8.0
-#: Log odds from which a document's tokens count as restored when the model is counted anew.
-SURE = 3.0
+#: Rounds end when the expected number of affected documents moves by less than this share (or half a document); MOST_ROUNDS only guards against endless rounds.
+TOLERANCE, MOST_ROUNDS = 0.002, 30
+#: Evidence added where UTF-8 restores a byte-order mark: only an encoding puts one there; and of a replacement character, which only decoders write.
+MARK, LOSS = 8.0, 20.0
+#: Restorations less likely than this log-ratio before languages are weighed aren't listed; each would count for between 0 and -0.05.
+LEAST = -4.0
+#: Parts of hot tokens in joins.
+SALTS = 8
 BITS = 20
 
 _TOKEN = regex.compile(r"[^ \t\r\n]*[^\x00-\x7f \t\r\n][^ \t\r\n]*")
-_CODE = regex.compile(r"(?<!`)(`{1,2})(?!`)[^`\n]+\1(?!`)")
+_CODE = re.compile(r"(?<!`)(`{1,2})(?!`)[^`\n]+\1(?!`)")
 _EDGE = "“”‘’«»„…–—·()[]{}.,;:!?*_#|\"'<>/（）。、，：；"
 
 #: Encodings that text is written in and wrongly read in (fixed names of Python's codecs).
@@ -87,11 +95,10 @@ class Chain:
             self.plain = {cp: chr(b) for cp, b in self.bytes.items()}
             self.chars = frozenset(c for c in chars if self.table is None or self.table[ord(c)])
 
-    def undo(self, token: str, beyond: frozenset[str] | None = None) -> str | None:
-        """What the token was before, None if it can't have been garbled this way. beyond: its characters beyond ASCII, if known."""
-        if self.bytes is not None and self.lead is None:
-            if not (frozenset(c for c in token if c > "\x7f") if beyond is None else beyond) <= self.chars:
-                return None
+    def undo(self, token: str) -> str | None:
+        """What the token was before, None if it can't have been garbled this way."""
+        if self.bytes is not None and self.lead is None and not all(c in self.chars for c in token if c > "\x7f"):
+            return None
         out = token
         for _ in range(self.times):
             new = self._once(out)
@@ -220,25 +227,83 @@ def model_of(sent) -> Model:
     return _models["model"]
 
 
-def undone(tokens: list[str], only: set[int] | None = None) -> tuple[list[int], list[int], list[str]]:
+class Masks:
+    """For each character, the chains (as bits) that it allows: rules out nearly all chains for a token by a few lookups."""
+
+    def __init__(self):
+        made = chains()
+        self.single: dict[str, int] = {}
+        self.lead: dict[str, int] = {}
+        self.more: dict[str, int] = {}
+        self.reads: dict[str, int] = {}  # encodings that text was read in without a table
+        for z, c in enumerate(made):
+            if c.bytes is None:
+                self.reads[c.read] = self.reads.get(c.read, 0) | 1 << z
+            elif c.lead is not None:
+                for cp, b in c.bytes.items():
+                    side = self.more if b <= 0xBF else self.lead if 0xC2 <= b <= 0xF4 else None
+                    if side is not None:
+                        side[chr(cp)] = side.get(chr(cp), 0) | 1 << z
+            else:
+                for ch in c.chars:
+                    self.single[ch] = self.single.get(ch, 0) | 1 << z
+        self.encodes: dict[str, int] = {}
+
+    def _encodable(self, ch: str) -> int:
+        out = 0
+        for name, bits in self.reads.items():
+            try:
+                ch.encode(name)
+                out |= bits
+            except UnicodeError:
+                pass
+        self.encodes[ch] = out
+        return out
+
+    def of(self, token: str) -> int:
+        """Chains that may undo the token."""
+        all_single = all_read = -1
+        pairs = before = 0
+        single, lead, more, encodes = self.single.get, self.lead.get, self.more.get, self.encodes.get
+        for ch in token:
+            if ch < "\x80":
+                before = 0
+                continue
+            all_single &= single(ch, 0)
+            got = encodes(ch)
+            all_read &= self._encodable(ch) if got is None else got
+            if before:
+                pairs |= before & more(ch, 0)
+            before = lead(ch, 0)
+        return all_single | all_read | pairs if all_single != -1 else 0
+
+
+_masks: list[Masks] = []
+
+
+def undone(tokens: list[str]) -> tuple[list[int], list[int], list[str]]:
     """(token number, chain number, restored token) wherever a chain can undo a token, or what stands between its quotes."""
+    if not _masks:
+        _masks.append(Masks())
+    masks, made = _masks[0], chains()
     at, which, restored = [], [], []
-    beyond = [frozenset(c for c in t if c > "\x7f") for t in tokens]
-    cores = [(i, t, core, frozenset(c for c in core if c > "\x7f")) for i, t in enumerate(tokens) if (core := t.strip(_EDGE)) and len(core) < len(t) and not core.isascii()]
-    for z, c in enumerate(chains()):
-        if only is not None and z not in only:
+    for i, t in enumerate(tokens):
+        if "�" in t:
+            at.append(i)
+            which.append(len(made))
+            restored.append(t)
             continue
-        undo = c.undo
-        for i, t in enumerate(tokens):
-            if (o := undo(t, beyond[i])) is not None and o != t:
-                at.append(i)
-                which.append(z)
-                restored.append(o)
-        for i, t, core, chars in cores:  # garbled between proper quotes
-            if (o := undo(core, chars)) is not None and o != core:
-                at.append(i)
-                which.append(z)
-                restored.append(t.replace(core, o, 1))
+        core = t.strip(_EDGE)
+        for part in (t, core) if core and len(core) < len(t) else (t,):  # garbled between proper quotes
+            left = masks.of(part)
+            while left:
+                low = left & -left
+                left ^= low
+                z = low.bit_length() - 1
+                if (o := made[z].undo(part)) is not None and o != part:
+                    at.append(i)
+                    which.append(z)
+                    restored.append(o if part is t else t.replace(core, o, 1))
     return at, which, restored
 
 
@@ -264,18 +329,14 @@ class Model:
     def scores(self, tokens: list[str]) -> np.ndarray:
         return np.add.reduceat(*self.parts(tokens)) if tokens else np.empty(0)
 
-    def ratios(self, tokens: list[str], only: set[int] | None = None, least: float = TOKEN_COST) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        """(token number, chain number, log-likelihood ratio, restored token) wherever the ratio exceeds `least`."""
-        at, which, restored = undone(tokens, only)
-        return self.gains(tokens, np.array(at, np.int64), np.array(which, np.int64), restored, least)
-
-    def gains(self, tokens: list[str], at: np.ndarray, which: np.ndarray, restored: list[str], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        """The best restoration of each token and chain, if its log-likelihood ratio exceeds `least`."""
+    def gains(self, tokens: list[str], at: np.ndarray, which: np.ndarray, restored: list[str], least: float = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """(token number, chain number, log-likelihood ratio, restored token): the best restoration of each token and chain, if its ratio exceeds `least`."""
         place = {o: k for k, o in enumerate(dict.fromkeys(restored))}  # chains often agree
         gain = self.scores(list(place))[[place[o] for o in restored]] - self.scores(tokens)[at] if len(at) else np.empty(0)
         for k, (z, o) in enumerate(zip(which, restored)):
-            if o[0] == "\ufeff" and chains()[z].true == "utf_8":
+            if o[0] == "\ufeff" and z < len(chains()) and chains()[z].true == "utf_8":
                 gain[k] += MARK
+        gain[which == len(chains())] = LOSS
         order = np.lexsort((-gain, which, at))
         first = np.concatenate([[True], (np.diff(at[order]) != 0) | (np.diff(which[order]) != 0)]) if len(at) else np.empty(0, bool)
         keep = order[first & (gain[order] > least)] if len(at) else order
@@ -311,32 +372,82 @@ _SPACES = {9: " ", 10: " ", 13: " "}
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, lang, token number, script, token or null); a token's text is written once a batch."""
-    known: dict[str, tuple[int, int]] = {}
+    """(doc, lang, source, token number, script, token or null): distinct tokens of each document; a token's text is written once a task.
+
+    Works on the bytes of a whole batch: positions beyond ASCII, widened to the white space around them.
+    """
+    code: dict[bytes, int] = {}
+    numbers, scripts, texts, lost = [], [], [], []
+
+    def learn(raw: bytes) -> int:
+        t = raw.decode("utf-8", "replace")
+        if "�" in t:
+            t = "�"
+            if lost:
+                code[raw] = lost[0]
+                return lost[0]
+            lost.append(len(numbers))
+        if t.isspace():  # no more than a wide or hard space
+            code[raw] = -1
+            return -1
+        code[raw] = got = len(numbers)
+        numbers.append(token_number(t))
+        scripts.append(script_of(t))
+        texts.append(t)
+        return got
+
     for b in batches:
-        docs, at, numbers, scripts, texts, new = [], [], [], [], [], set()
-        for i, (doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-            if not text or text.isascii():
+        column = b.column(1)
+        cited = pc.fill_null(pc.match_substring(column, "`"), False)
+        plain = pa.array(~cited.to_numpy(zero_copy_only=False))
+        parts = ((plain, column.filter(plain)), (cited, pa.array([_CODE.sub(" ", t) for t in column.filter(cited).to_pylist()], pa.string())))
+        for chosen, part in parts:
+            part = part.fill_null("")
+            if not len(part):
+                continue
+            rows = np.flatnonzero(chosen.to_numpy(zero_copy_only=False))
+            ends = np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + len(part) + 1].astype(np.int64)
+            data = part.buffers()[2]
+            if data is None or ends[-1] == ends[0]:
                 continue
-            for t in tokens_of(text):
-                if "�" in t:
-                    t = "�"
-                elif t.isspace():  # no more than a wide or hard space
-                    continue
-                if (n := known.get(t)) is None:
-                    n = known[t] = token_number(t), script_of(t)
-                docs.append(doc)
-                at.append(i)
-                numbers.append(n[0])
-                scripts.append(n[1])
-                texts.append(None if t in new else t)
-                new.add(t)
-        if len(known) > 500_000:
-            known.clear()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(docs, pa.int64()), b.column(2).take(pa.array(at, pa.int64())), pa.array(numbers, pa.int64()), pa.array(scripts, pa.int32()), pa.array(texts, pa.string())],
-            names=["doc", "lang", "t", "script", "token"],
-        )
+            raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
+            ends = ends - ends[0]
+            beyond = np.flatnonzero(raw >= 0x80)
+            if not len(beyond):
+                continue
+            space = _IS_SPACE[raw]
+            breaks = space.copy()
+            breaks[ends[:-1][ends[:-1] < len(raw)]] = True  # a document's first byte
+            at = np.flatnonzero(breaks)
+            token = np.unique(np.searchsorted(at, beyond, "right"))
+            start = at[token - 1]
+            doc = np.searchsorted(ends, start, "right") - 1
+            start = start + space[start]
+            end = np.append(at, len(raw))[token]
+            whole, get, before = raw.tobytes(), code.get, len(numbers)
+            codes = []
+            for x, y in zip(start.tolist(), end.tolist()):
+                k = get(w := whole[x:y])
+                codes.append(learn(w) if k is None else k)
+            codes = np.array(codes, np.int64)
+            pairs = np.unique((doc << 32 | codes)[codes >= 0])
+            doc, codes = rows[pairs >> 32], pairs & 0xFFFFFFFF
+            some, first = np.unique(codes, return_index=True)
+            new = first[some >= before]
+            text = np.full(len(codes), None, object)
+            text[new] = [texts[k] for k in codes[new]]
+            take = pa.array(doc)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(take), b.column(2).take(take), b.column(3).take(take), pa.array(np.array(numbers, np.int64)[codes]), pa.array(np.array(scripts, np.int32)[codes]), pa.array(text, pa.string())],
+                names=["doc", "lang", "source", "t", "script", "token"],
+            )
+        if len(code) > 500_000:
+            code.clear()
+            for x in (numbers, scripts, texts, lost):
+                x.clear()
+
+
+_IS_SPACE = np.isin(np.arange(256), [9, 10, 13, 32])
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,94 +461,164 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), k), pa.int32()), pa.array(i, pa.int64()), pa.array(x[i], pa.float64())], names=["kind", "i", "n"])
 
 
+def _evidence(gain: Column) -> Column:
+    """log(1 - p + p e^gain) with p = e^-TOKEN_COST."""
+    p = float(np.exp(-TOKEN_COST))
+    return F.when(gain > 30, gain - TOKEN_COST).otherwise(F.log1p(p * F.expm1(F.least(gain, F.lit(30.0)))))
+
+
 class Garbled:
-    """documents: (doc, text, source, lang). judged: (doc, source, z, odds); see found() and repaired()."""
+    """documents: (doc, text, source, lang). judged: (doc, source, lang, odds, zs); see found() and repaired()."""
 
     def __init__(self, documents: DataFrame):
         spark = documents.sparkSession
         keep = Scratch(spark).keep  # short plans: the driver's memory doesn't grow with the rounds
-        self.documents = documents = documents.withColumn("source", F.coalesce("source", F.lit("\x00")))  # records without a source are one source
-        occurrences = keep(documents.select("doc", "text", F.coalesce("lang", F.lit("")).alias("lang")).mapInArrow(_tokens, "doc bigint, lang string, t bigint, script int, token string"), "occurrences")
+        self.documents = documents = documents.withColumn("source", F.coalesce("source", F.lit("\x00"))).withColumn("lang", F.coalesce("lang", F.lit("")))
+        some = documents.select("doc", "text", "lang", "source")
+        occurrences = keep(some.mapInArrow(_tokens, "doc bigint, lang string, source string, t bigint, script int, token string"), "occurrences")
         # a document has each token once
-        tokens = keep(occurrences.groupBy("t").agg(F.max("token").alias("token"), F.count("*").cast("double").alias("n")), "tokens")
-        lost = token_number("�")
-        proper = tokens.filter(F.col("t") != lost).select("token", "n")
-        counts = proper.mapInArrow(_counter, "kind int, i bigint, n double").groupBy("kind", "i").agg(F.sum("n").alias("n"))
-        arrays = {PAIRS: np.zeros(1 << BITS), ONES: np.zeros(1 << 16), POOLED: np.zeros(1 << BITS), CASES: np.zeros(9)}
-        self._add(arrays, counts)
+        tokens = occurrences.groupBy("t").agg(F.max("token").alias("token"), F.max("script").alias("script"), F.count("*").cast("double").alias("n"))
+        tokens = keep(tokens.mapInArrow(_candidates, _CANDIDATE), "tokens")
+        base = self._counts(tokens.select("token", "n"))
         # which scripts a language's tokens have: a restored token must suit its document better than the token as it is
         share = occurrences.groupBy("lang", "script").agg(F.count("*").alias("n"))
-        suits = keep(share.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("script", "n"))).alias("of"), F.sum("n").alias("all")), "suits")
+        self.suits = suits = keep(share.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("script", "n"))).alias("of"), F.sum("n").alias("all")), "suits")
         fit = lambda s: F.log((F.coalesce(F.try_element_at("of", s), F.lit(0)) + 1) / (F.col("all") + 20))
         by_source = keep(documents.groupBy("source").agg(F.count("*").alias("docs")), "sources")
-        of = documents.select("doc", "source")
         everything = by_source.agg(F.sum("docs")).first()[0] or 0
-        candidates = pooled = None
-        for step in range(EM_ROUNDS):
+        salted = occurrences.select("doc", "lang", "source", "t", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"))
+        arrays, priors, pooled, before, self.rounds = base, None, {}, None, 0
+        while True:
+            self.rounds += 1
             self.model = model = spark.sparkContext.broadcast(_sparse(arrays))
-            if candidates is None:  # which chains undo which tokens doesn't change with the model
-                candidates = keep(tokens.filter(F.col("t") != lost).select("t", "token").mapInArrow(_candidates, "t bigint, token string, z array<int>, restored array<string>"), "candidates")
-            ratios = keep(candidates.mapInArrow(_ratios(model), _RATIO), "ratios")
+            ratios = keep(tokens.filter("size(z) > 0").mapInArrow(_ratios(model), _RATIO), "ratios")
+            weighing = ratios.select("t", "script", F.transform("r", lambda r: F.struct(r["z"].alias("z"), r["gain"].alias("gain"), r["becomes"].alias("becomes"))).alias("r"))
+            weighing = weighing.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
             weighed = (
-                occurrences.select("doc", "lang", "t", "script")
-                .join(ratios.select("t", "z", "gain", "becomes"), "t")
+                salted.join(weighing, ["t", "salt"])
+                .select("doc", "lang", "source", "script", F.explode("r").alias("r"))
                 .join(suits, "lang")
-                .groupBy("doc", "z")
-                .agg(F.sum(F.greatest(F.lit(0.0), F.col("gain") + fit(F.col("becomes")) - fit(F.col("script")) - TOKEN_COST)).alias("weight"))
+                .groupBy("doc", "lang", "source", F.col("r.z").alias("z"))
+                .agg(F.sum(_evidence(F.col("r.gain") + fit(F.col("r.becomes")) - fit(F.col("script")))).alias("weight"))
             )
-            evidence = keep(weighed.join(of, "doc"), "evidence")
-            # priors of chains by source, shrunk to those of all sources
-            known = evidence.withColumn("p", F.lit(START)) if pooled is None else evidence.join(F.broadcast(pooled), "z", "left").withColumn("p", F.coalesce("p", F.lit(START)))
-            posterior = known.withColumn("r", 1 / (1 + F.exp(-(F.col("weight") + F.log("p")))))
-            per = keep(posterior.groupBy("source", "z").agg(F.sum("r").alias("c")), "sums")
-            pooled = keep(per.groupBy("z").agg(((F.sum("c") + START) / (everything + 1)).alias("p")), "priors")  # one row a chain
-            prior = per.join(by_source, "source").join(F.broadcast(pooled), "z").select("source", "z", ((F.col("c") + SHRINK * F.col("p")) / (F.col("docs") + SHRINK)).alias("prior"))
-            p = F.least(F.greatest(F.col("prior"), F.lit(1e-9)), F.lit(0.5))
-            self.judged = keep(evidence.join(prior, ["source", "z"]).select("doc", "source", "z", (F.col("weight") + F.log(p / (1 - p))).alias("odds")).filter("odds > 0"), "judged")
-            self.ratios = ratios
-            if step + 1 < EM_ROUNDS:  # the model without what it takes for garbled, and with what that was
-                best = self.judged.groupBy("doc").agg(F.max_by("z", "odds").alias("z"), F.max("odds").alias("odds")).filter(F.col("odds") > SURE)
-                moved = occurrences.select("doc", "t").join(ratios, "t").join(best, ["doc", "z"]).groupBy("t", "z").agg(F.max("token").alias("token"), F.max("restored").alias("restored"), F.count("*").cast("double").alias("n"))
-                changed = moved.select(F.explode(F.array(F.struct("token", (-F.col("n")).alias("n")), F.struct(F.col("restored").alias("token"), "n"))).alias("x")).select("x.*")
-                self._add(arrays, changed.mapInArrow(_counter, "kind int, i bigint, n double").groupBy("kind", "i").agg(F.sum("n").alias("n")))
-                for x in arrays.values():
-                    np.maximum(x, 0, out=x)
-        self.lost = occurrences.filter(F.col("t") == lost).select("doc").distinct()
+            evidence = weighed.filter("weight > 0").groupBy("doc", "lang", "source").agg(F.collect_list(F.struct("z", "weight")).alias("zs"))  # at most as many as there are chains
+            # E-step: the posterior of each chain and of `clean`
+            self.judged = judged = keep(self._with_priors(evidence, priors).mapInArrow(_posterior(pooled), "doc bigint, lang string, source string, odds double, zs array<struct<z:int,r:double>>"), "judged")
+            # M-step: priors of chains by source, shrunk to those of all sources
+            per = keep(judged.select("source", F.explode("zs").alias("x")).groupBy("source", "x.z").agg(F.sum("x.r").alias("c")), "sums")
+            sums = {r["z"]: r["c"] for r in per.groupBy("z").agg(F.sum("c").alias("c")).collect()}  # one row a chain
+            pooled = {z: (c + START) / (everything + 1) for z, c in sums.items()}
+            shrunk = per.join(by_source, "source").groupBy("source").agg(F.collect_list(F.struct("z", (F.col("c") / (F.col("docs") + SHRINK)).alias("c"))).alias("own"), F.max(SHRINK / (F.col("docs") + SHRINK)).alias("lent"))
+            self.priors = priors = keep(shrunk, "priors")
+            now = sum(sums.values())
+            if before is not None and abs(now - before) <= max(0.5, TOLERANCE * now) or self.rounds >= MOST_ROUNDS:
+                break
+            before = now
+            # the model with tokens moved to what they were, each by its posterior
+            sure = judged.filter("odds > -5").select("doc", "lang", F.explode("zs").alias("x")).select("doc", "lang", "x.z", "x.r").filter("r > 0.01")
+            held = salted.drop("lang", "source").join(sure.select("doc").distinct(), "doc", "left_semi").join(ratios.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["t", "salt"])
+            moved = held.select("doc", "t", "token", "script", F.explode("r").alias("g")).select("doc", "t", "token", "script", "g.*").join(sure, ["doc", "z"]).join(suits, "lang")
+            gain = F.least(F.lit(30.0), F.col("gain") + fit(F.col("becomes")) - fit(F.col("script"))) - TOKEN_COST
+            moved = moved.filter("token <> restored").groupBy("t", "restored").agg(F.max("token").alias("token"), F.sum(F.col("r") / (1 + F.exp(-gain))).alias("n"))
+            # what was found is taken off twice: characters that mostly come from garbling have as much of it undetected
+            changed = moved.select(F.explode(F.array(F.struct("token", (-2 * F.col("n")).alias("n")), F.struct(F.col("restored").alias("token"), "n"))).alias("x")).select("x.*")
+            delta = self._counts(changed)
+            arrays = {k: np.maximum(x + delta[k], 0) for k, x in base.items()}
+            model.unpersist()
+
+    @staticmethod
+    def _with_priors(evidence: DataFrame, priors: DataFrame | None) -> DataFrame:
+        """(doc, lang, source, zs, own, lent): evidence with its source's own share of each chain and the weight of the pooled one."""
+        if priors is None:
+            return evidence.select("doc", "lang", "source", "zs", F.lit(None).cast("array<struct<z:int,c:double>>").alias("own"), F.lit(1.0).alias("lent"))
+        return evidence.join(priors, "source", "left").select("doc", "lang", "source", "zs", "own", F.coalesce("lent", F.lit(1.0)).alias("lent"))
 
     @staticmethod
-    def _add(arrays: dict[int, np.ndarray], counts: DataFrame) -> None:
-        """To the driver: at most 2^(BITS+1) + 2^16 + 9 numbers, whatever the corpus."""
-        got = counts.toArrow()
+    def _counts(tokens: DataFrame) -> dict[int, np.ndarray]:
+        """Character counts of (token, n) on the driver: at most 2^(BITS+1) + 2^16 + 9 numbers, whatever the corpus."""
+        arrays = {PAIRS: np.zeros(1 << BITS), ONES: np.zeros(1 << 16), POOLED: np.zeros(1 << BITS), CASES: np.zeros(9)}
+        proper = tokens.filter(F.col("token") != "�")
+        got = proper.mapInArrow(_counter, "kind int, i bigint, n double").groupBy("kind", "i").agg(F.sum("n").alias("n")).toArrow()
         kind, i, n = (got.column(c).to_numpy() for c in ("kind", "i", "n"))
         for k, x in arrays.items():
             x[i[kind == k]] += n[kind == k]
+        return arrays
 
     def found(self) -> DataFrame:
-        return self.judged.select("doc").union(self.lost).distinct()
+        return self.judged.filter("odds > 0").select("doc")
 
     def repaired(self) -> DataFrame:
-        """(doc, chains, restored): restored is the text with every token undone that its two likeliest chains explain; null if none could be."""
+        """(doc, chains, restored): the affected documents with every token as the document's mixture of chains has it; restored is null if nothing changes.
+
+        Repair is repeated on its own result as long as that changes, so text garbled by one chain after another is undone step by step.
+        """
         model = self.model
-        listed = self.judged.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct((-F.col("odds")).alias("o"), "z"))).alias("zs"))
-        both = self.found().join(listed, "doc", "left").select("doc", F.coalesce(F.slice(F.transform("zs", lambda x: x["z"]), 1, 2), F.array().cast("array<int>")).alias("zs"))
+        listed = self.judged.filter("odds > 0").join(self.suits, "lang").select("doc", "zs", "of", "all")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            made = chains()
             for b in batches:
                 texts, names = [], []
-                for text, zs in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                    names.append(", ".join(chains()[z].name for z in zs) or "replacement characters")
-                    tokens = list(dict.fromkeys(_TOKEN.findall(text)))
-                    # tokens as seen outside of inline code; citations stay as they are
-                    at, which, _, restored = model_of(model).ratios(tokens, set(zs)) if zs and tokens else ((), (), (), [])
-                    order = {z: k for k, z in enumerate(zs)}
-                    best: dict[str, tuple[int, str]] = {}  # the likeliest chain that restores the token
-                    for i, z, o in zip(at, which, restored):
-                        best[tokens[i]] = min(best.get(tokens[i], (len(zs), "")), (order[z], o))
-                    done = _outside_code(text, lambda part: _TOKEN.sub(lambda m: best[m[0]][1] if m[0] in best else m[0], part)) if best else None
+                for text, zs, of, n in zip(*(c.to_pylist() for c in b.columns[1:])):
+                    of = dict(of)
+                    fit = lambda s: np.log((of.get(s, 0) + 1) / (n + 20))  # noqa: E731, B023
+                    weights = {x["z"]: x["r"] for x in zs}
+                    done, used = text, {}
+                    for _ in range(4):
+                        new, found = restore(model_of(model), done, weights, fit)
+                        for z, c in found.items():
+                            used[z] = used.get(z, 0) + c
+                        if new == done:
+                            break
+                        done = new
+                    lost = ["replacement characters"] if len(made) in weights and "�" in text else []
+                    names.append(", ".join([made[z].name for z in sorted(used, key=lambda z: -used[z])] + lost) or "unknown")
                     texts.append(done if done != text else None)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["doc", "chains", "restored"])
 
-        return self.documents.select("doc", "text").join(both, "doc").select("doc", "text", "zs").mapInArrow(run, "doc bigint, chains string, restored string")
+        return self.documents.select("doc", "text").join(listed, "doc").select("doc", "text", "zs", "of", "all").mapInArrow(run, "doc bigint, chains string, restored string")
+
+
+#: Weight in tokens of what is known of a document's chains before its tokens are looked at one by one, and that of any other chain.
+KNOWN, OTHER = 1.0, 1e-4
+
+
+def restore(model: Model, text: str, weights: dict[int, float], fit) -> tuple[str, dict[int, float]]:
+    """The text with every token outside of inline code as its posterior has it, and how many tokens each chain explains."""
+    tokens = [t for t in dict.fromkeys(m[0] for part in _outside(text) for m in _TOKEN.finditer(part)) if "�" not in t]
+    at, which, restored = undone(tokens)
+    at, which, gain, restored = model.gains(tokens, np.array(at, np.int64), np.array(which, np.int64), restored, -30.0)
+    if not len(at):
+        return text, {}
+    gain = gain + np.array([fit(script_of(o)) - fit(script_of(tokens[i])) for i, o in zip(at, restored)])
+    known = np.array([KNOWN * weights.get(z, 0.0) + OTHER for z in range(len(chains()))])
+    theta = known / (known.sum() + len(tokens))
+    likely = np.exp(np.minimum(gain, 60.0))
+    for _ in range(12):  # weights of chains in this document
+        r = theta[which] * likely
+        rest = np.maximum(1 - theta.sum(), 1e-3)
+        r = r / (rest + np.bincount(at, r, len(tokens)))[at]
+        theta = (np.bincount(which, r, len(known)) + known) / (known.sum() + len(tokens))
+    best: dict[str, str] = {}
+    used: dict[int, float] = {}
+    share: dict[tuple[int, str], float] = {}
+    for i, o, x in zip(at.tolist(), restored, r.tolist()):  # chains that agree add up
+        share[i, o] = share.get((i, o), 0.0) + x
+    for (i, o), x in share.items():
+        if x > 0.5:
+            best[tokens[i]] = o
+    for i, z, o, x in zip(at.tolist(), which.tolist(), restored, r.tolist()):
+        if best.get(tokens[i]) == o:
+            used[z] = used.get(z, 0.0) + x
+    if not best:
+        return text, {}
+    return _outside_code(text, lambda part: _TOKEN.sub(lambda m: best.get(m[0], m[0]), part)), {z: c for z, c in used.items() if c > 0.5}
+
+
+def _outside(text: str) -> list[str]:
+    out: list[str] = []
+    _outside_code(text, lambda part: out.append(part) or part)
+    return out
 
 
 def _outside_code(text: str, change) -> str:
@@ -448,30 +629,75 @@ def _outside_code(text: str, change) -> str:
     return "".join([*out, change(text[at:])])
 
 
-_RATIO = "t bigint, z int, gain double, token string, restored string, becomes int"
-_NAMES = ["t", "z", "gain", "token", "restored", "becomes"]
+_CANDIDATE = "t bigint, token string, script int, n double, z array<int>, restored array<string>"
+_RATIO = "t bigint, token string, script int, r array<struct<z:int,gain:double,becomes:int,restored:string>>"
+
+
+def _lists(owner: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
+    """Lists of values for n rows; owner is sorted."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), values)
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each token with all that chains make of it."""
     for b in batches:
         at, which, restored = undone(b.column(1).to_pylist())
-        order = np.argsort(np.array(at, np.int64), kind="stable")
-        owner = np.array(at, np.int64)[order]
-        some, first = np.unique(owner, return_index=True)
-        ends = pa.array(np.append(first, len(owner)), pa.int32())
-        z = pa.ListArray.from_arrays(ends, pa.array(np.array(which, np.int32)[order], pa.int32()))
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), b.column(1).take(pa.array(some)), z, pa.ListArray.from_arrays(ends, pa.array([restored[i] for i in order], pa.string()))], names=["t", "token", "z", "restored"])
+        at = np.array(at, np.int64)
+        yield pa.RecordBatch.from_arrays([*b.columns, _lists(at, b.num_rows, pa.array(which, pa.int32())), _lists(at, b.num_rows, pa.array(restored, pa.string()))], names=["t", "token", "script", "n", "z", "restored"])
 
 
 def _ratios(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             tokens = b.column(1).to_pylist()
-            at = np.repeat(np.arange(len(tokens)), b.column(2).value_lengths().to_numpy(zero_copy_only=False))
-            at, z, gain, restored = model_of(model).gains(tokens, at, b.column(2).flatten().to_numpy(), b.column(3).flatten().to_pylist(), TOKEN_COST)
-            rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array(z, pa.int32()), pa.array(gain, pa.float64()), b.column(1).take(rows), pa.array(restored, pa.string()), pa.array(map(script_of, restored), pa.int32())], names=_NAMES)
+            at = np.repeat(np.arange(len(tokens)), b.column(4).value_lengths().to_numpy(zero_copy_only=False))
+            at, z, gain, restored = model_of(model).gains(tokens, at, b.column(4).flatten().to_numpy(), b.column(5).flatten().to_pylist())
+            some, place = np.unique(at, return_inverse=True)
+            r = pa.StructArray.from_arrays([pa.array(z, pa.int32()), pa.array(gain, pa.float64()), pa.array(map(script_of, restored), pa.int32()), pa.array(restored, pa.string())], names=["z", "gain", "becomes", "restored"])
+            rows = pa.array(some, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), b.column(2).take(rows), _lists(place, len(some), r)], names=["t", "token", "script", "r"])
+
+    return run
+
+
+def _posterior(pooled: dict[int, float]):
+    """Posterior of each listed chain of a document, and the log odds of all of them together against `clean`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = np.full(len(chains()) + 1, START)
+        for z, p in pooled.items():
+            whole[z] = p
+        for b in batches:
+            n, lists = b.num_rows, b.column(3)
+            if not n:
+                continue
+            sources = b.column(2).dictionary_encode()
+            of, first = sources.indices.to_numpy(), {}
+            for i, k in enumerate(of.tolist()):
+                first.setdefault(k, i)
+            prior = np.empty((len(first), len(whole)))
+            for k, i in first.items():
+                prior[k] = b.column(5)[i].as_py() * whole
+                for x in b.column(4)[i].as_py() or ():
+                    prior[k, x["z"]] += x["c"]
+            prior = np.clip(prior, 1e-9, 0.5)
+            row = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
+            flat = lists.flatten()
+            z = flat.field(0).to_numpy()
+            o = flat.field(1).to_numpy() + np.log(prior[of[row], z])
+            top = np.zeros(n)
+            np.maximum.at(top, row, o)
+            each = np.exp(o - top[row])
+            total = np.bincount(row, each, n)
+            clean = np.maximum(0.5, 1 - prior.sum(axis=1))[of]
+            odds = np.log(np.maximum(total, 1e-300)) + top - np.log(clean)
+            r = each / (total + clean * np.exp(-top))[row]
+            kept = (r > 1e-6) & (odds > -10)[row]
+            some = np.flatnonzero(odds > -10)
+            place = np.searchsorted(some, row[kept])
+            values = pa.StructArray.from_arrays([pa.array(z[kept], pa.int32()), pa.array(r[kept])], names=["z", "r"])
+            take = pa.array(some)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(odds[some]), _lists(place, len(some), values)], names=["doc", "lang", "source", "odds", "zs"])
 
     return run
 
