@@ -41,7 +41,7 @@ def double(scratch: Scratch, name: str, links: DataFrame, sizes: bool) -> tuple[
     Each round, a node learns the pointer of the node it points to, and hands its size on to that node.
     """
     state = links.select("v", F.col("p").alias("ptr"), F.when(F.col("p").isNull(), 0).otherwise(1).cast("long").alias("dist"), F.coalesce("p", "v").alias("top"), F.lit(1).cast("long").alias("size"))
-    going_on = F.col("ptr").isNotNull()
+    going_on = F.count_if(F.col("ptr").isNotNull())
     state, active = scratch.keep_counting(state, name, going_on)
     before = None
     while active and active != before:  # none ended in a round: what is left leads into cycles

@@ -72,15 +72,15 @@ class Scratch:
         return self.keep_counting(df, name)[0]
 
     def keep_counting(self, df: DataFrame, name: str, count: Column | None = None) -> tuple[DataFrame, int]:
-        """Also how many rows fulfil a condition, observed while writing."""
+        """Also an aggregate of whole numbers, observed while writing."""
         path = f"{self.base}/{name}-{uuid.uuid4().hex[:8]}"
         if count is None:
             df.write.parquet(path)
             n = 0
         else:
             seen = Observation()
-            df.observe(seen, F.count(F.when(count, 1)).alias("n")).write.parquet(path)
-            n = seen.get["n"]
+            df.observe(seen, count.alias("n")).write.parquet(path)
+            n = seen.get["n"] or 0
         if name in self.now:
             remove(self.spark, self.now[name])
         self.now[name] = path
