@@ -46,8 +46,8 @@ TOLERANCE, MOST_ROUNDS = 0.002, 30
 MARK, LOSS = 8.0, 20.0
 #: Restorations less likely than this log-ratio before languages are weighed aren't listed; each would count for between 0 and -0.05.
 LEAST = -4.0
-#: Parts of hot tokens in joins.
-SALTS = 8
+#: Parts of hot tokens in joins; restorations that are sent to all workers, at most (about 100 bytes each).
+SALTS, SENT = 8, 300_000
 BITS = 20
 
 _TOKEN = regex.compile(r"[^ \t\r\n]*[^\x00-\x7f \t\r\n][^ \t\r\n]*")
@@ -472,7 +472,8 @@ class Garbled:
 
     def __init__(self, documents: DataFrame):
         spark = documents.sparkSession
-        keep = Scratch(spark).keep  # short plans: the driver's memory doesn't grow with the rounds
+        scratch = Scratch(spark)
+        keep = scratch.keep  # short plans: the driver's memory doesn't grow with the rounds
         self.documents = documents = documents.withColumn("source", F.coalesce("source", F.lit("\x00"))).withColumn("lang", F.coalesce("lang", F.lit("")))
         some = documents.select("doc", "text", "lang", "source")
         occurrences = keep(some.mapInArrow(_tokens, "doc bigint, lang string, source string, t bigint, script int, token string"), "occurrences")
@@ -486,16 +487,16 @@ class Garbled:
         fit = lambda s: F.log((F.coalesce(F.try_element_at("of", s), F.lit(0)) + 1) / (F.col("all") + 20))
         by_source = keep(documents.groupBy("source").agg(F.count("*").alias("docs")), "sources")
         everything = by_source.agg(F.sum("docs")).first()[0] or 0
-        salted = occurrences.select("doc", "lang", "source", "t", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"))
+        occurrences = occurrences.select("doc", "lang", "source", "t")
         arrays, priors, pooled, before, self.rounds = base, None, {}, None, 0
         while True:
             self.rounds += 1
             self.model = model = spark.sparkContext.broadcast(_sparse(arrays))
-            ratios = keep(tokens.filter("size(z) > 0").mapInArrow(_ratios(model), _RATIO), "ratios")
+            ratios, listed = scratch.keep_counting(tokens.filter("size(z) > 0").mapInArrow(_ratios(model), _RATIO), "ratios", F.sum(F.size("r")))
+            small = listed <= SENT  # restorations grow with the distinct tokens: sent to the documents while they are few, else both are shuffled by token
             weighing = ratios.select("t", "script", F.transform("r", lambda r: F.struct(r["z"].alias("z"), r["gain"].alias("gain"), r["becomes"].alias("becomes"))).alias("r"))
-            weighing = weighing.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
             weighed = (
-                salted.join(weighing, ["t", "salt"])
+                self._with_ratios(occurrences, weighing, small)
                 .select("doc", "lang", "source", "script", F.explode("r").alias("r"))
                 .join(suits, "lang")
                 .groupBy("doc", "lang", "source", F.col("r.z").alias("z"))
@@ -516,16 +517,24 @@ class Garbled:
             before = now
             # the model with tokens moved to what they were, each by its posterior
             sure = judged.filter("odds > -5").select("doc", "lang", F.explode("zs").alias("x")).select("doc", "lang", "x.z", "x.r").filter("r > 0.01")
-            held = salted.drop("lang", "source").join(sure.select("doc").distinct(), "doc", "left_semi").join(ratios.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["t", "salt"])
+            held = self._with_ratios(occurrences.select("doc", "t").join(sure.select("doc").distinct(), "doc", "left_semi"), ratios, small)
             moved = held.select("doc", "t", "token", "script", F.explode("r").alias("g")).select("doc", "t", "token", "script", "g.*").join(sure, ["doc", "z"]).join(suits, "lang")
             gain = F.least(F.lit(30.0), F.col("gain") + fit(F.col("becomes")) - fit(F.col("script"))) - TOKEN_COST
             moved = moved.filter("token <> restored").groupBy("t", "restored").agg(F.max("token").alias("token"), F.sum(F.col("r") / (1 + F.exp(-gain))).alias("n"))
-            # what was found is taken off twice: characters that mostly come from garbling have as much of it undetected
-            changed = moved.select(F.explode(F.array(F.struct("token", (-2 * F.col("n")).alias("n")), F.struct(F.col("restored").alias("token"), "n"))).alias("x")).select("x.*")
-            delta = self._counts(changed)
-            arrays = {k: np.maximum(x + delta[k], 0) for k, x in base.items()}
+            moved = keep(moved, "moved")
+            gone, come = self._counts(moved.select("token", "n")), self._counts(moved.select(F.col("restored").alias("token"), "n"))
+            # of what is left of characters that mostly come from garbling, the same share is taken twice over for garbling not found yet
+            arrays = {k: x * np.clip(1 - gone[k] / np.maximum(x, 1e-9), 0, 1) ** 3 + come[k] for k, x in base.items()}
             model.unpersist()
 
+    @staticmethod
+    def _with_ratios(occurrences: DataFrame, ratios: DataFrame, small: bool) -> DataFrame:
+        """Occurrences with what their tokens may have been. Hot tokens are salted where the join shuffles."""
+        if small:
+            return occurrences.join(F.broadcast(ratios), "t")
+        salted = occurrences.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+        return salted.join(ratios.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["t", "salt"])
+
     @staticmethod
     def _with_priors(evidence: DataFrame, priors: DataFrame | None) -> DataFrame:
         """(doc, lang, source, zs, own, lent): evidence with its source's own share of each chain and the weight of the pooled one."""
