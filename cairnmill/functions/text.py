@@ -23,14 +23,18 @@ def content_hash(c: Column) -> Column:
     return F.sha2(F.encode(c, "UTF-8"), 256)
 
 
+#: What words consist of: alphabetic characters, vowel signs of Indic and other scripts among them, and numbers.
+_WORD = r"\p{IsAlphabetic}\p{N}"
+
+
 def keywords(c: Column) -> Column:
     """Runs of letters and digits of at least three bytes, lower case; repeats stay."""
-    return F.transform(F.filter(F.split(c, r"[^\p{L}\p{N}]"), lambda x: F.octet_length(x) >= MIN_WORD_BYTES), F.lower)
+    return F.transform(F.filter(F.split(c, f"[^{_WORD}]"), lambda x: F.octet_length(x) >= MIN_WORD_BYTES), F.lower)
 
 
 def mention_tokens(c: Column) -> Column:
     """Words of a question without other than letters, digits, hyphen and underscore; short words and stopwords left out."""
-    words = F.transform(F.split(c, r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}_-]", ""))
+    words = F.transform(F.split(c, r"(?U)\s+"), lambda w: F.regexp_replace(w, f"[^{_WORD}_-]", ""))
     return F.filter(words, lambda w: (F.octet_length(w) >= MIN_WORD_BYTES) & ~F.lower(w).isin(*STOPWORDS))
 
 

@@ -64,12 +64,13 @@ def fallback_rate(decisions: DataFrame) -> DataFrame:
     return decisions.agg(F.count("*").alias("total"), F.coalesce(F.sum(judged), F.lit(0)).alias("judged"), F.coalesce(F.avg(judged), F.lit(0.0)).alias("fallback_rate"))
 
 
-def fold(candidates: Iterable[dict], types: dict[str, np.ndarray], embed: Callable[[str], np.ndarray], judge: Callable[[str, str], str], reserved: set[str] = frozenset(), low: float = ZONE_LOW, high: float = ZONE_HIGH) -> list[dict]:
+def fold(candidates: Iterable[dict], types: dict[str, np.ndarray], embed: Callable[[str], np.ndarray], judge: Callable[[str, str], str], reserved: set[str] = frozenset(), low: float = ZONE_LOW, high: float = ZONE_HIGH, grow: dict[str, np.ndarray] | None = None) -> list[dict]:
     """Order-dependent classification: a type made by one candidate is there for the next.
 
     A sequential fold by nature, so it takes an ordered iterable; each distinct probe text and description is embedded once.
+    grow: the vocabulary itself, to be added to; a candidate may bring its own `vector`.
     """
-    known, cache, out = dict(types), {}, []
+    known, cache, out = dict(types) if grow is None else grow, {}, []
     lower = lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
     blocked = {lower(r) for r in reserved}
 
@@ -86,7 +87,7 @@ def fold(candidates: Iterable[dict], types: dict[str, np.ndarray], embed: Callab
             continue
         best, dist = None, 1.0
         if known:
-            v = vector(hint or name)
+            v = np.asarray(c["vector"], np.float64) if c.get("vector") is not None else vector(hint or name)
             for t in sorted(known):
                 n = np.linalg.norm(v) * np.linalg.norm(known[t])
                 d = 1 - (float(v @ known[t] / n) if n else 0.0)
@@ -109,14 +110,63 @@ def first_per_label(rows: DataFrame, label: str, key: str) -> DataFrame:
 
 
 def extract(chunks: DataFrame, extractor, key: str = "id", text: str = "content") -> DataFrame:
-    """(key, ordinal, raw_name, raw_type_hint): candidates of each chunk. Null and empty chunks have none."""
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"raw_name": c["raw_name"], "raw_type_hint": c.get("raw_type_hint")} for c in (extractor.extract(t) if t else [])])
+    """(key, ordinal, raw_name, raw_type_hint): candidates of each chunk. Null, empty and refused chunks have none; an outage of the extractor leaves a chunk without."""
+    from cairnmill.sources.providers import Rejected, Unavailable
 
-    found = F.pandas_udf(run, "array<struct<raw_name:string,raw_type_hint:string>>")
+    def one(t: str | None) -> list[dict]:
+        try:
+            return [{"raw_name": c["raw_name"], "raw_type_hint": c.get("raw_type_hint")} for c in (extractor.extract(t) if t else [])]
+        except (Rejected, Unavailable):
+            return []
+
+    found = F.pandas_udf(lambda texts: texts.map(one), "array<struct<raw_name:string,raw_type_hint:string>>")
     return chunks.select(F.col(key), F.posexplode(found(F.col(text))).alias("ordinal", "c")).select(key, "ordinal", "c.*")
 
 
+#: Decisions of the fold that are written at a time.
+WINDOW = 50_000
+
+
+def classify_growing(candidates: DataFrame, types: DataFrame, relation_types: DataFrame, embedder, extractor, order: list[str], low: float = ZONE_LOW, high: float = ZONE_HIGH) -> DataFrame:
+    """Classification against a vocabulary that grows with its own decisions, in the given order of candidates.
+
+    (raw_name, raw_type_hint, outcome, type, distance, judged, description), once for each distinct name and hint, as at
+    its first occurrence. The order makes it sequential: extraction, reserved names and embeddings of distinct probe texts are done by
+    the executors, and the distinct candidates then stream through the driver, which holds the types only.
+    """
+    from cairnmill.sources.providers import embed_distinct
+
+    allowed, reserved = split_reserved(candidates, relation_types)
+    first = allowed.groupBy("raw_name", "raw_type_hint").agg(F.min(F.struct(*order)).alias("at"))
+    probes = embed_distinct(first.withColumn("probe", F.coalesce("raw_type_hint", "raw_name")), "probe", embedder)
+    scratch = Scratch(candidates.sparkSession)
+    probes = scratch.keep(probes.select("raw_name", "raw_type_hint", "vector", "at").orderBy("at", "raw_name", "raw_type_hint"), "probes")
+    described = embed_distinct(types.select("name", F.coalesce("description", F.lit("")).alias("description")), "description", embedder)
+    known = {r["name"]: np.asarray(r["vector"], np.float64) for r in described.select("name", "vector").toLocalIterator()}
+    one = lambda t: embedder.embed([t])[0]
+    schema = "raw_name string, raw_type_hint string, outcome string, type string, distance double, judged boolean, description string"
+    out, rows = None, []
+    spark = candidates.sparkSession
+
+    def write(n: int) -> None:
+        nonlocal out, rows
+        part = scratch.keep(spark.createDataFrame(rows, schema), f"decided-{n}")
+        out, rows = part if out is None else out.unionByName(part), []
+
+    n = 0
+    for r in probes.orderBy("at", "raw_name", "raw_type_hint").toLocalIterator():
+        c = {"raw_name": r["raw_name"], "raw_type_hint": r["raw_type_hint"], "vector": r["vector"]}
+        d = fold([c], known, one, extractor.judge, low=low, high=high, grow=known)[0]
+        made = f"type inferred from '{r['raw_name']}'" if d["outcome"] == "new" else None
+        rows.append((r["raw_name"], r["raw_type_hint"], d["outcome"], d["type"], d["distance"], d["judged"], made))
+        if len(rows) >= WINDOW:
+            n += 1
+            write(n)
+    write(n + 1)
+    rejected = reserved.select("raw_name", "raw_type_hint").distinct().select("raw_name", "raw_type_hint", F.lit("reserved").alias("outcome"), *[F.lit(None).cast(t).alias(c) for c, t in (("type", "string"), ("distance", "double"))], F.lit(False).alias("judged"), F.lit(None).cast("string").alias("description"))
+    return out.unionByName(rejected)
+
+
 def classify_static(candidates: DataFrame, types: DataFrame, relation_types: DataFrame, embedder, extractor, low: float = ZONE_LOW, high: float = ZONE_HIGH) -> DataFrame:
     """Set-wise classification against a vocabulary that doesn't grow meanwhile: (raw_name, raw_type_hint, type_name, distance, zone, outcome).
 

@@ -8,13 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnmill.functions.text import ascii_lower, file_stem
+from cairnmill.functions.text import ascii_lower, file_stem, folder_scope
 from cairnmill.operators.registry import stable_id
 from cairnmill.schemas import DEFAULT_KIND, PLACEHOLDER_TYPE, SEED_RELATION_TYPES
 
 try:
     import yaml
-except ImportError:  # frontmatter then counts as absent
+except ImportError:  # reading frontmatter fails then; see parse
     yaml = None
 
 _BLOCK = re.compile(r"﻿?---(.*?)\n---", re.S)
@@ -58,8 +58,10 @@ _made: list = []
 def parse(text: str | None) -> dict | None:
     """The mapping at the head of a file, None if there is none."""
     m = _BLOCK.match(text or "")
-    if not m or yaml is None:
+    if not m:
         return None
+    if yaml is None:
+        raise ImportError("frontmatter needs PyYAML")
     if not _made:
         _made.append(_loader())
     try:
@@ -102,8 +104,30 @@ def keys(files: DataFrame, key: str, text: str) -> DataFrame:
     return values(files, key, text).select(key, F.array_join(F.array_sort(F.map_keys("fields")), ",").alias("keys"), fingerprint(F.col("fields")).alias("key_fingerprint"))
 
 
+def shapes(parsed: DataFrame, path: str) -> DataFrame:
+    """(folder_scope, key_fingerprint, keys) of the frontmatter of all files, each once."""
+    one = parsed.select(folder_scope(F.col(path)).alias("folder_scope"), fingerprint(F.col("fields")).alias("key_fingerprint"), F.array_sort(F.map_keys("fields")).alias("keys"))
+    return one.groupBy("folder_scope", "key_fingerprint").agg(F.min("keys").alias("keys"))
+
+
+def by_concept(parsed: DataFrame, profiles: DataFrame, path: str) -> DataFrame:
+    """(path, fields) with the concepts that the profile of a file's folder and keys gives, instead of the keys: concept -> key -> value.
+
+    Of several keys with one concept the first in alphabetical order counts. Without a profile no key has a concept.
+    """
+    keyed = parsed.withColumn("folder_scope", folder_scope(F.col(path))).withColumn("key_fingerprint", fingerprint(F.col("fields")))
+    known = profiles.select("folder_scope", "key_fingerprint", F.from_json("field_mapping", "map<string,string>").alias("_m"))
+    both = keyed.join(known, ["folder_scope", "key_fingerprint"], "left")
+    pairs = F.map_entries(F.map_filter(F.coalesce("_m", F.create_map().cast("map<string,string>")), lambda k, c: c.isNotNull() & F.map_contains_key("fields", k)))
+    inverted = F.map_from_arrays(
+        F.array_distinct(F.transform(pairs, lambda e: e["value"])),
+        F.transform(F.array_distinct(F.transform(pairs, lambda e: e["value"])), lambda c: F.array_min(F.transform(F.filter(pairs, lambda e: e["value"] == c), lambda e: e["key"]))),
+    )
+    return both.withColumn("_i", inverted).select(path, F.transform_values("_i", lambda c, k: F.element_at("fields", k)).alias("fields"))
+
+
 def statements(parsed: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """(owners, links) of values(): owners (path, name, kind), links (path, name, concept, target)."""
+    """(owners, links) of by_concept(): owners (path, name, kind), links (path, name, concept, target)."""
     one = lambda k: F.try_element_at(F.try_element_at("fields", F.lit(k)), F.lit(1))
     owners = parsed.select(F.col(path).alias("path"), F.coalesce(one("id"), file_stem(F.col(path))).alias("name"), F.coalesce(one("kind"), F.lit(DEFAULT_KIND)).alias("kind"), "fields")
     concepts = F.array(*[F.lit(c) for c in SEED_RELATION_TYPES])

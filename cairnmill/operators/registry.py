@@ -77,11 +77,17 @@ def dedupe_relations(relations: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def retype(entities: DataFrame, owners: DataFrame) -> DataFrame:
-    """Entities that an owner (canonical_name, type_id) of the same name (ASCII case apart) declares get its type; nothing else changes."""
-    own = owners.groupBy(ascii_lower(F.col("canonical_name")).alias("_k")).agg(F.max("type_id").alias("_t"))
+    """Entities that an owner (canonical_name, type_id, path) of the same name (ASCII case apart) declares get the type of the last owner by path; nothing else changes."""
+    own = owners.groupBy(ascii_lower(F.col("canonical_name")).alias("_k")).agg(F.max_by("type_id", F.struct("path", "type_id")).alias("_t"))
     return entities.withColumn("_k", ascii_lower(F.col("canonical_name"))).join(own, "_k", "left").withColumn("type_id", F.coalesce("_t", "type_id")).drop("_k", "_t")
 
 
+def register_candidate_types(existing: DataFrame, new: DataFrame, created_at: str = "0") -> DataFrame:
+    """Relation types (name, description) that aren't known yet, as candidates; known names stay as they are."""
+    rows = new.select(stable_id(F.lit("relation-type"), F.col("name")).alias("id"), "name", "description", F.lit("candidate").alias("status"), F.lit(created_at).alias("created_at"))
+    return get_or_create(existing.select("id", "name", "description", "status", "created_at"), rows, ["name"], [F.col("description")])
+
+
 def file_states(indexed: DataFrame) -> DataFrame:
     """The last state of each file."""
     return latest_per(indexed.select("file_path", "content_hash", "indexed_at").filter("file_path is not null"), ["file_path"], [epoch(F.col("indexed_at")), F.col("content_hash")])

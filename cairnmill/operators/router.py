@@ -11,6 +11,10 @@ from cairnmill.operators.classify import vocabulary
 from cairnmill.schemas import ROUTING_THRESHOLD
 
 
+#: Distinct question words that are sent to the names at a time.
+MAX_WORDS = 10_000
+
+
 def mentions(questions: DataFrame, entities: DataFrame, key: str = "question_id", text: str = "question") -> DataFrame:
     """(key, token, entity_id, canonical_name) of the entity each question mentions.
 
@@ -24,7 +28,11 @@ def mentions(questions: DataFrame, entities: DataFrame, key: str = "question_id"
     words = tokens.select("k").distinct()
     exact = names.join(words, F.col("name_k") == F.col("k")).groupBy("k").agg(F.min(F.struct("canonical_name", "entity_id")).alias("e"))
     pattern = F.concat(F.lit("%"), F.replace(F.col("k"), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
-    part = names.join(F.broadcast(words), F.like("name_k", pattern)).groupBy("k").agg(F.min(F.struct("canonical_name", "entity_id")).alias("p"))
+    slices, part = -(-words.count() // MAX_WORDS), None
+    for i in range(max(1, slices)):  # each slice is small enough to be sent
+        few = words.filter(F.pmod(F.xxhash64("k"), F.lit(max(1, slices))) == i)
+        got = names.join(F.broadcast(few), F.like("name_k", pattern)).groupBy("k").agg(F.min(F.struct("canonical_name", "entity_id")).alias("p"))
+        part = got if part is None else part.unionByName(got)
     hit = tokens.join(exact, "k", "left").join(part, "k", "left").filter("e is not null or p is not null")
     is_exact = F.col("e").isNotNull()
     w = Window.partitionBy(key).orderBy(F.desc(is_exact), F.when(is_exact, F.col("pos")), F.desc(F.octet_length("token")), "pos")

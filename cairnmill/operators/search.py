@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +20,7 @@ def nearest(rows: DataFrame, query: list[float], k: int, key: str = "id", column
 
 def query_keywords(text: str) -> list[str]:
     """The keywords of a query, as functions.text.keywords gives them for a column."""
-    return [w.lower() for w in re.split(r"[^\w]|_", text) if len(w.encode()) >= MIN_WORD_BYTES]
+    return [w.lower() for w in regex.split(r"[^\p{Alphabetic}\p{N}]", text) if len(w.encode()) >= MIN_WORD_BYTES]
 
 
 def hybrid(chunks: DataFrame, query_text: str, query_vector: list[float], top_k: int = DEFAULT_TOP_K) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def diff(disk: DataFrame, known: DataFrame) -> DataFrame:
     """(file_path, status, content_hash): new, changed, unchanged or deleted. Both sides have each path once."""
-    both = disk.select("file_path", F.col("content_hash").alias("now")).join(known.select("file_path", F.col("content_hash").alias("before"), F.lit(True).alias("_k")), "file_path", "full_outer")
-    status = F.when(F.col("now").isNull(), "deleted").when(F.col("_k").isNull(), "new").when(F.col("now").eqNullSafe(F.col("before")), "unchanged").otherwise("changed")
+    both = disk.select("file_path", F.col("content_hash").alias("now"), F.lit(True).alias("_d")).join(known.select("file_path", F.col("content_hash").alias("before"), F.lit(True).alias("_k")), "file_path", "full_outer")
+    status = F.when(F.col("_d").isNull(), "deleted").when(F.col("_k").isNull(), "new").when(F.col("now").eqNullSafe(F.col("before")), "unchanged").otherwise("changed")
     return both.select("file_path", status.alias("status"), F.coalesce("now", "before").alias("content_hash"))
 
 

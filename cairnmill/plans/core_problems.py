@@ -82,6 +82,13 @@ WITH RECURSIVE {_LINKS},
 SELECT d.type_id, {_dashed('d.id')} AS entity_id, CASE WHEN on_cycle THEN 'cycle' WHEN leads THEN 'below_cycle' ELSE 'tree' END AS status,
   len(path) - 1 AS depth, {_dashed('root')} AS root_id, path, s.n AS n_descendants
 FROM down d JOIN sizes s ON s.type_id = d.type_id AND s.entity_id = {_dashed('d.id')}""",
+        "p3_lifespans": """
+WITH r AS (SELECT DISTINCT folder_scope, revision, record_id, file_path, payload FROM frontmatter_records WHERE folder_scope IS NOT NULL AND revision IS NOT NULL),
+  revs AS (SELECT folder_scope, revision, row_number() OVER (PARTITION BY folder_scope ORDER BY revision) AS ord FROM (SELECT DISTINCT folder_scope, revision FROM r)),
+  k AS (SELECT folder_scope, revision, record_id, unnest(json_keys(payload)) AS key, payload FROM r WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+  v AS (SELECT folder_scope, revision, key, count(*) FILTER (json_type(json_extract(payload, '$."' || key || '"')) <> 'NULL') AS n FROM k GROUP BY 1, 2, 3),
+  i AS (SELECT v.*, ord - row_number() OVER (PARTITION BY v.folder_scope, key ORDER BY ord) AS island FROM v JOIN revs USING (folder_scope, revision))
+SELECT folder_scope, key, min(revision) AS first_revision, max(revision) AS last_revision, CAST(sum(n) AS BIGINT) AS n_values FROM i GROUP BY folder_scope, key, island""",
         "p2_found": f"{_ORPHANS} SELECT DISTINCT ref_field, record_id, period FROM gone",
         "p2_report": f"{_ORPHANS} SELECT ref_field, period, count(DISTINCT record_id) AS n_records, count(DISTINCT key) AS n_missing_keys FROM gone GROUP BY 1, 2",
     }

@@ -9,6 +9,8 @@ from cairnmill.functions import text as tx
 from cairnmill.functions.ids import dashed, epoch, uuid_hex
 from cairnmill.functions.vectors import usable
 from cairnmill.operators import chunking, classify, frontmatter, graph, registry, router, search, sync
+from cairnmill.plans.stream_query import STREAM_KNOWN
+from cairnmill.schemas import FRONTMATTER_CONCEPTS, STOPWORDS
 from cairnmill.sources.tables import current_rows, live_ids, table
 
 DIM = 96
@@ -90,8 +92,29 @@ def markdown_chunks(budget):
     return run
 
 
+#: Keys that the rule extractor is told the meaning of, besides those spelled as concepts.
+SYNONYMS = {"owner": "owned_by"}
+
+
 def parsed(spark, folder):
-    return frontmatter.values(table(spark, folder, "documents").filter("file_path is not null").select("file_path", "text"), "file_path", "text")
+    """Frontmatter of all documents through learned profiles: concepts instead of keys."""
+    values = frontmatter.values(table(spark, folder, "documents").filter("file_path is not null").select("file_path", "text"), "file_path", "text")
+    return frontmatter.by_concept(values, learned(values), "file_path")
+
+
+def learned(values):
+    from cairnmill.sources.providers import RuleExtractor
+
+    none = values.sparkSession.createDataFrame([], "folder_scope string, key_fingerprint string")
+    return frontmatter.learn_profiles(frontmatter.shapes(values, "file_path"), none, RuleExtractor(synonyms=SYNONYMS))
+
+
+def profile_learning(spark, folder):
+    """What is learnt from the documents' frontmatter: key=concept pairs of each folder and set of keys."""
+    values = frontmatter.values(table(spark, folder, "documents").filter("file_path is not null").select("file_path", "text"), "file_path", "text")
+    pairs = F.map_entries(F.map_filter(F.from_json("field_mapping", "map<string,string>"), lambda k, v: v.isNotNull()))
+    meant = F.array_join(F.array_sort(F.transform(pairs, lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return learned(values).select("folder_scope", "key_fingerprint", meant.alias("meant"))
 
 
 def frontmatter_keys(spark, folder):
@@ -115,8 +138,8 @@ KNOWN_AT = 1735689600  # states before are the known ones
 
 
 def disk(spark, folder):
-    """The last states of files that have live chunks."""
-    c = live_chunks(spark, folder, "file_path").select("file_path").distinct()
+    """The last states of files that have a live chunk of more than 2,000 characters: the others stand for deleted files."""
+    c = live_chunks(spark, folder, "file_path", "content").filter(F.length("content") > 2000).select("file_path").distinct()
     return registry.file_states(table(spark, folder, "indexed_files")).join(c, "file_path", "left_semi")
 
 
@@ -251,8 +274,12 @@ def nearest_type(spark, folder):
 
 
 def zones(spark, folder):
-    n = nearest_type(spark, folder)
-    return n.select("candidate_id", classify.zone(F.col("distance"), 0.70, 0.90).alias("zone"))
+    """Zones at the default thresholds. Candidates are vectors drawn towards the first of their label, by 0 to 3 times its length."""
+    e, first = table(spark, folder, "embeddings"), label_types(spark, folder).withColumnRenamed("vector", "l")
+    pull = F.zip_with("embedding", "l", lambda x, y: x.cast("double") + y.cast("double") * (F.col("vec_id") % 4))
+    c = e.join(first, F.col("name") == F.concat(F.lit("label-"), F.col("label").cast("string"))).select(F.col("vec_id").alias("candidate_id"), pull.alias("vector"))
+    n = classify.nearest_type(c, label_types(spark, folder))
+    return n.select("candidate_id", classify.zone(F.round("distance", 9)).alias("zone"))
 
 
 def zone_counts(spark, folder):
@@ -267,7 +294,7 @@ def reserved_reject(spark, folder):
     e = live_entities(spark, folder).select("id", F.col("canonical_name").alias("raw_name"))
     extra = table(spark, folder, "relation_types").select("id", F.upper("name").alias("raw_name"))
     ok, no = classify.split_reserved(e.unionByName(extra), table(spark, folder, "relation_types"))
-    return no.select("id", "raw_name").unionByName(ok.filter("raw_name like 'causes%'").select("id", "raw_name"))
+    return no.select("id", "raw_name", F.lit(True).alias("reserved")).unionByName(ok.filter("raw_name is not null").select("id", "raw_name", F.lit(False).alias("reserved"))).groupBy("reserved").agg(F.count("*").alias("n"), F.min("raw_name").alias("least"), F.max("raw_name").alias("greatest"))
 
 
 def questions(spark, folder):
@@ -305,7 +332,7 @@ def placeholder_retype(spark, folder):
     """Entities typed anew where frontmatter of a document owns their name."""
     owners, _ = frontmatter.statements(parsed(spark, folder), "file_path")
     types = table(spark, folder, "entity_types").select(F.col("name").alias("kind"), F.col("id").alias("type_id"))
-    own = owners.join(types, "kind").select(F.col("name").alias("canonical_name"), "type_id")
+    own = owners.join(types, "kind").select(F.col("name").alias("canonical_name"), "type_id", "path")
     return registry.retype(live_entities(spark, folder).filter("canonical_name is not null"), own).groupBy("type_id").agg(F.count("*").alias("n"))
 
 
@@ -362,6 +389,7 @@ def queries():
         "first_seen_entity": first_seen_entity,
         "file_states": file_states,
         "profile_lookup": profile_lookup,
+        "profile_learning": profile_learning,
         "type_counts": type_counts,
         "relation_type_counts": relation_type_counts,
         "promotion": promotion,
@@ -409,7 +437,7 @@ _EDGES = f"""edges AS (SELECT id, type_id, arrived_at, evidence_chunk_id, {_id('
   WHERE s IS NOT NULL AND t IS NOT NULL)"""
 _START = "start_at AS (SELECT min(target_entity_id) AS id FROM edges WHERE type_id IN (SELECT id FROM relation_types WHERE name = 'part_of'))"
 _STATES = "states AS (SELECT file_path, arg_max(content_hash, {'a': coalesce(try_cast(indexed_at AS DOUBLE), -1e300), 'h': content_hash}) AS content_hash FROM indexed_files WHERE file_path IS NOT NULL GROUP BY 1)"
-_DISK = "disk AS (SELECT * FROM states WHERE file_path IN (SELECT file_path FROM live_chunks))"
+_DISK = "disk AS (SELECT * FROM states WHERE file_path IN (SELECT file_path FROM live_chunks WHERE length(content) > 2000))"
 _KNOWN = _STATES.replace("states AS", "known AS").replace("IS NOT NULL", "IS NOT NULL AND try_cast(indexed_at AS DOUBLE) < 1735689600")
 _DIFF = f"""{_CHUNKS}, {_STATES}, {_DISK}, {_KNOWN}, diff AS (
   SELECT coalesce(d.file_path, s.file_path) AS file_path, CASE WHEN d.content_hash IS NULL THEN 'deleted' WHEN s.file_path IS NULL THEN 'new' WHEN d.content_hash IS NOT DISTINCT FROM s.content_hash THEN 'unchanged' ELSE 'changed' END AS status, coalesce(d.content_hash, s.content_hash) AS content_hash
@@ -427,10 +455,13 @@ def _cos(a: str, b: str) -> str:
     return f"list_cosine_similarity({_D.format(a)}, {_D.format(b)})"
 
 
-_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[^\p{L}\p{N}]'), lambda x: strlen(x) >= 3)"
+# vowel signs of Thai are alphabetic; RE2 has no class for that, and the tables hold no other such marks
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[^\p{L}\p{N}\x{0E31}\x{0E34}-\x{0E3A}\x{0E4D}]'), lambda x: strlen(x) >= 3)"
 _NEAREST = f"""label_types AS (SELECT 'label-' || label AS name, embedding AS v FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1),
   nearest AS (SELECT vec_id AS candidate_id, arg_min(name, {{'d': round(d, 12), 'n': name}}) AS type_name, min(d) AS distance FROM (SELECT e.vec_id, t.name, 1 - {_cos('e.embedding', 't.v')} AS d FROM embeddings e, label_types t) GROUP BY 1),
-  zoned AS (SELECT candidate_id, CASE WHEN round(distance, 6) <= 0.7 THEN 'merge' WHEN round(distance, 6) >= 0.9 THEN 'new' ELSE 'judge' END AS zone FROM nearest)"""
+  pulled AS (SELECT vec_id, list_transform(list_zip(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), lambda p: p[1] + p[2] * (vec_id % 4)) AS w FROM embeddings JOIN label_types ON name = 'label-' || label),
+  near AS (SELECT vec_id, min(1 - list_cosine_similarity(w, CAST(t.v AS DOUBLE[]))) AS distance FROM pulled, label_types t GROUP BY 1),
+  zoned AS (SELECT vec_id AS candidate_id, CASE WHEN round(distance, 9) <= 0.15 THEN 'merge' WHEN round(distance, 9) >= 0.35 THEN 'new' ELSE 'judge' END AS zone FROM near)"""
 _TYPE_COUNTS = f"SELECT t.name, count(e.id) AS instance_count FROM entity_types t LEFT JOIN (SELECT id, {_id(_hex('type_id'))} AS type_id FROM live_entities) e ON e.type_id = t.id GROUP BY t.id, t.name"
 _RELATION_COUNTS = "SELECT t.name, t.status, count(e.id) AS instance_count FROM relation_types t LEFT JOIN edges e ON e.type_id = t.id GROUP BY t.id, t.name, t.status"
 
@@ -449,6 +480,36 @@ _BLOCK = r"""blocks AS (SELECT doc_id, regexp_extract(text, '(?s)^\x{FEFF}?---(.
   fields AS (SELECT doc_id, unnest(regexp_extract_all(block, '(?m)^([A-Za-z_][A-Za-z_-]*):(?:[ ]+.*|\r?)$', 1)) AS key, trim(unnest(regexp_extract_all(block, '(?m)^[A-Za-z_][A-Za-z_-]*:(.*)$', 1)), chr(32) || chr(13)) AS v FROM blocks)"""
 
 
+def _stable(*parts: str) -> str:
+    h = "sha256(" + " || chr(1) || ".join(parts) + ")"
+    return f"({h}[1:8] || '-' || {h}[9:12] || '-' || {h}[13:16] || '-' || {h}[17:20] || '-' || {h}[21:32])"
+
+
+_MEANT = _BLOCK.replace("SELECT doc_id, regexp_extract", "SELECT doc_id, file_path, regexp_extract").replace("SELECT doc_id, unnest", "SELECT doc_id, file_path, unnest").replace("WHERE regexp_matches", "WHERE file_path IS NOT NULL AND regexp_matches") + f""",
+  meant AS (SELECT *, CASE WHEN c IN ({", ".join(f"'{x}'" for x in FRONTMATTER_CONCEPTS)}) THEN c END AS concept FROM (SELECT *, CASE WHEN key = 'owner' THEN 'owned_by' ELSE trim(regexp_replace(lower(key), '[^a-z]', '_', 'g'), '_') END AS c FROM fields))"""
+_INGEST = f"""{_MEANT},
+  said AS (SELECT doc_id, file_path AS path, concept, arg_min(v, key) AS v FROM meant WHERE concept IS NOT NULL GROUP BY 1, 2, 3),
+  listed AS (SELECT *, CASE WHEN v IN ('true', 'false', 'null', '~', '') OR v = '[]' THEN [] WHEN v LIKE '[%]' THEN string_split(v[2:-2], ', ') ELSE [v] END AS vs FROM said),
+  files AS (SELECT DISTINCT doc_id, file_path AS path FROM fields),
+  owners AS (SELECT f.doc_id, f.path, coalesce(i.vs[1], regexp_extract(regexp_extract(f.path, '[^/]*$'), '^(.+)\\.[^.]*$', 1)) AS name, coalesce(k.vs[1], 'spec-item') AS kind FROM files f LEFT JOIN listed i ON i.doc_id = f.doc_id AND i.concept = 'id' LEFT JOIN listed k ON k.doc_id = f.doc_id AND k.concept = 'kind'),
+  links AS (SELECT o.path, o.name, l.concept, unnest(l.vs) AS target FROM listed l JOIN owners o ON o.doc_id = l.doc_id WHERE l.concept NOT IN ('id', 'kind', 'status')),
+  mentions AS (SELECT path, 0 AS o, name FROM owners UNION ALL SELECT path, 1, target FROM links),
+  entities_now AS (SELECT m.k, {_stable("'entity'", "m.k")} AS id, f.name AS canonical_name, coalesce(kind, 'unresolved-reference') AS type, f.path AS first_seen_file
+    FROM (SELECT {_FOLD.format('name')} AS k, min({{'path': path, 'o': o, 'name': name}}) AS f FROM mentions GROUP BY 1) m
+    LEFT JOIN (SELECT {_FOLD.format('name')} AS k, arg_max(kind, {{'p': path, 'k': kind}}) AS kind FROM owners GROUP BY 1) o ON o.k = m.k)"""
+
+
+def _path() -> str:
+    """One shortest path from the start to the greatest id three hops away (itself, if there is none): the least list of relation ids, walked back from the end."""
+    return f"""{_reach(3)}, finish AS (SELECT max(id) AS id FROM reach WHERE depth = 3),
+  ends AS (SELECT id, source_entity_id AS a, target_entity_id AS b FROM edges UNION ALL SELECT id, target_entity_id, source_entity_id FROM edges),
+  levels AS (SELECT id, depth FROM reach UNION ALL SELECT id, 0 FROM start_at),
+  back(node, ids, depth) AS (SELECT id, CAST([] AS VARCHAR[]), 3 FROM finish WHERE id IS NOT NULL UNION ALL
+    SELECT e.b, list_prepend(e.id, back.ids), back.depth - 1 FROM back JOIN ends e ON e.a = back.node JOIN levels l ON l.id = e.b AND l.depth = back.depth - 1),
+  best AS (SELECT min(ids) AS ids FROM back WHERE depth = 0),
+  steps AS (SELECT unnest(ids) AS id, generate_subscripts(ids, 1) - 1 AS step FROM best)"""
+
+
 def oracle_sql():
     hits = " + ".join(f"CAST(contains(lower(coalesce(content, '')), '{w}') AS INT)" for w in HIT_WORDS)
     words = search.query_keywords(QUERY_TEXT)
@@ -491,10 +552,31 @@ SELECT name, CASE WHEN status = 'canonical' OR coalesce(hits, 0) >= 3 THEN 'cano
 SELECT e.id, e.type_id, e.source_entity_id, e.target_entity_id FROM edges e, c WHERE e.source_entity_id = c.id OR e.target_entity_id = c.id""",
         **{f"neighbourhood_d{d}": f"{_reach(d)}, {_ENTITIES} SELECT r.id, r.depth FROM reach r JOIN live_entities e ON e.id = r.id" for d in (1, 2, 3)},
         "direct_relations": f"WITH {_EDGES}, {_START} SELECT e.id, e.type_id, e.source_entity_id, e.target_entity_id FROM edges e, start_at s WHERE e.source_entity_id = s.id OR e.target_entity_id = s.id",
-        "shortest_path_length": f"{_reach(3)} SELECT coalesce(max(depth) FILTER (depth = 3), 0) AS n_steps FROM reach",
+        "shortest_path_length": f"{_path()} SELECT count(*) AS n_steps FROM steps",
+        "shortest_path": f"{_path()} SELECT step, e.id, e.type_id, e.source_entity_id, e.target_entity_id, e.evidence_chunk_id FROM steps JOIN edges e ON e.id = steps.id",
+        "profile_learning": f"""WITH {_MEANT} SELECT folder_scope, key_fingerprint, min(meant) AS meant FROM (
+  SELECT doc_id, regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS folder_scope, sha256(string_agg(key, ',' ORDER BY key)) AS key_fingerprint, coalesce(string_agg(key || '=' || concept, ',' ORDER BY key || '=' || concept) FILTER (concept IS NOT NULL), '') AS meant
+  FROM meant GROUP BY doc_id, file_path) GROUP BY 1, 2""",
+        "frontmatter_entities": f"WITH {_INGEST} SELECT id, canonical_name, type, first_seen_file FROM entities_now",
+        "frontmatter_relations": f"""WITH {_INGEST} SELECT {_stable("'relation'", "concept", "a.id", "b.id")} AS id, concept AS type, a.id AS source_entity_id, b.id AS target_entity_id, CAST(1.0 AS FLOAT) AS confidence, evidence_file
+  FROM (SELECT concept, {_FOLD.format('name')} AS s, {_FOLD.format('target')} AS t, min(path) AS evidence_file FROM links GROUP BY 1, 2, 3) f JOIN entities_now a ON a.k = s JOIN entities_now b ON b.k = t""",
+        "placeholder_retype": f"""WITH {_INGEST}, {_ENTITIES}, own AS (SELECT {_FOLD.format('o.name')} AS k, arg_max(t.id, {{'p': path, 't': t.id}}) AS t FROM owners o JOIN entity_types t ON t.name = o.kind GROUP BY 1)
+SELECT coalesce(own.t, e.type_id) AS type_id, count(*) AS n FROM live_entities e LEFT JOIN own ON own.k = {_FOLD.format('e.canonical_name')} WHERE e.canonical_name IS NOT NULL GROUP BY 1""",
+        "mention_resolution": f"""WITH {_ENTITIES}, few AS (SELECT canonical_name, row_number() OVER (ORDER BY canonical_name) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT canonical_name FROM live_entities WHERE canonical_name IS NOT NULL ORDER BY 1 LIMIT 64)),
+  q AS (SELECT i AS question_id, 'What is the ' || t.name || ' relation for ' || f.canonical_name || ', and how does it matter?' AS question FROM (SELECT name, row_number() OVER (ORDER BY name) - 1 AS i FROM relation_types) t JOIN few f ON f.r = (3 * t.i) % f.n),
+  words AS (SELECT question_id, unnest(w) AS raw, generate_subscripts(w, 1) AS pos FROM (SELECT question_id, regexp_split_to_array(question, '\\s+') AS w FROM q)),
+  tokens AS (SELECT question_id, token, pos, {_FOLD.format('lower(token)')} AS k FROM (SELECT question_id, pos, regexp_replace(raw, '[^\\p{{L}}\\p{{N}}_-]', '', 'g') AS token FROM words) WHERE strlen(token) >= 3 AND lower(token) NOT IN ({", ".join(f"'{w}'" for w in STOPWORDS)})),
+  names AS (SELECT id, canonical_name, {_FOLD.format('canonical_name')} AS nk FROM live_entities WHERE canonical_name IS NOT NULL),
+  hits AS (SELECT t.question_id, t.token, t.pos, (SELECT min({{'canonical_name': canonical_name, 'id': id}}) FROM names WHERE nk = t.k) AS e, (SELECT min({{'canonical_name': canonical_name, 'id': id}}) FROM names WHERE nk LIKE '%' || t.k || '%') AS p FROM tokens t)
+SELECT question_id, token, coalesce(e, p).id AS entity_id, coalesce(e, p).canonical_name AS canonical_name FROM hits WHERE e IS NOT NULL OR p IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY e IS NOT NULL DESC, CASE WHEN e IS NOT NULL THEN pos END NULLS FIRST, strlen(token) DESC, pos) = 1""",
+        "stream_catchup": f"""WITH d AS (SELECT file_path, arg_max({{'t': text}}, doc_id).t AS content FROM documents WHERE file_path IS NOT NULL GROUP BY 1),
+  k AS (SELECT file_path, arg_min({{'t': text}}, doc_id).t AS content FROM documents WHERE file_path IS NOT NULL AND updated_at < TIMESTAMP '{STREAM_KNOWN}' GROUP BY 1),
+  s AS (SELECT * FROM d WHERE regexp_matches(content, '[^\\s\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]'))
+SELECT CASE WHEN s.file_path IS NULL THEN 'deleted' WHEN k.file_path IS NULL THEN 'new' WHEN s.content IS NOT DISTINCT FROM k.content THEN 'unchanged' ELSE 'changed' END AS status, count(*) AS n_files FROM s FULL JOIN k ON s.file_path = k.file_path GROUP BY 1""",
         "nearest_type": f"WITH {_NEAREST} SELECT candidate_id, type_name, round(distance, 6) + 0.0 AS distance FROM nearest",
         "zone_counts": f"WITH {_NEAREST} SELECT zone, count(*) AS n FROM zoned GROUP BY 1",
         "fallback_rate": f"WITH {_NEAREST} SELECT count(*) AS total, count(*) FILTER (zone = 'judge') AS judged, count(*) FILTER (zone = 'judge') / count(*) AS fallback_rate FROM zoned",
         "reserved_reject": f"""WITH {_ENTITIES}, c AS (SELECT id, canonical_name AS raw_name FROM live_entities UNION ALL SELECT id, upper(name) FROM relation_types)
-SELECT id, raw_name FROM c WHERE {_FOLD.format('raw_name')} IN (SELECT {_FOLD.format('name')} FROM relation_types) OR raw_name LIKE 'causes%'""",
+SELECT {_FOLD.format('raw_name')} IN (SELECT {_FOLD.format('name')} FROM relation_types) AS reserved, count(*) AS n, min(raw_name) AS least, max(raw_name) AS greatest FROM c WHERE raw_name IS NOT NULL GROUP BY 1""",
     }

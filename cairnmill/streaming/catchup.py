@@ -14,7 +14,7 @@ FILES = "path string, modificationTime timestamp, length bigint, content binary"
 def files(spark: SparkSession, root: str, per_batch: int = 1000) -> DataFrame:
     """New and changed *.md files below root; deletions aren't seen by a stream, a batch run finds them."""
     stream = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").option("maxFilesPerTrigger", per_batch).load(root)
-    return stream.select(F.regexp_replace("path", r"^[a-z]+:/*(?=/)", "").alias("file_path"), F.decode("content", "UTF-8").alias("content"))
+    return stream.select(F.regexp_replace("path", r"^file:/*(?=/)", "").alias("file_path"), F.decode("content", "UTF-8").alias("content"))
 
 
 def catch_up(spark: SparkSession, root: str, checkpoint: str, apply: Callable[[DataFrame], None]) -> StreamingQuery:

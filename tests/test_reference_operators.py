@@ -64,10 +64,47 @@ def test_registry(spark):
 
 def test_retype(spark):
     e = spark.createDataFrame([("1", "ph", "TASK-1", "a.md", "0"), ("2", "ph", "other", "a.md", "0")], schemas.ENTITY)
-    got = registry.retype(e, spark.createDataFrame([("task-1", "task")], "canonical_name string, type_id string"))
+    got = registry.retype(e, spark.createDataFrame([("task-1", "zeta", "a.md"), ("task-1", "task", "b.md")], "canonical_name string, type_id string, path string"))
     assert {(r["id"], r["type_id"], r["first_seen_file"]) for r in got.collect()} == {("1", "task", "a.md"), ("2", "ph", "a.md")}
 
 
+def test_words_of_scripts_with_vowel_signs(spark):
+    assert one(spark, tx.keywords(F.lit("हिन्दी भाषा, ที่นี่"))) != [] and "भाषा" in one(spark, tx.keywords(F.lit("हिन्दी भाषा")))
+    assert search.query_keywords("भाषा depends_on") == ["भाषा", "depends"]
+    assert one(spark, tx.mention_tokens(F.lit("what भाषा\u3000TASK-1?"))) == ["भाषा", "TASK-1"]
+
+
+def test_null_hash_on_disk_is_no_deletion(spark):
+    disk = spark.createDataFrame([("a", None), ("b", None)], "file_path string, content_hash string")
+    known = spark.createDataFrame([("a", None), ("b", "x"), ("c", None)], "file_path string, content_hash string")
+    assert {(r["file_path"], r["status"]) for r in sync.diff(disk, known).collect()} == {("a", "unchanged"), ("b", "changed"), ("c", "deleted")}
+
+
+def test_no_yaml_is_an_error(monkeypatch):
+    monkeypatch.setattr(frontmatter, "yaml", None)
+    assert frontmatter.parse("no block") is None
+    with pytest.raises(ImportError):
+        frontmatter.parse("---\na: 1\n---\n")
+
+
+def test_growing_vocabulary_is_that_of_the_fold(spark):
+    from cairnmill.sources.providers import HashedEmbedder, RuleExtractor
+
+    e, x = HashedEmbedder(32), RuleExtractor()
+    rows = [(i, n, h) for i, (n, h) in enumerate([("RISK-1", "risk"), ("risk-item-2", None), ("RISK-1", "risk"), ("depends_on", None), ("PLAN-3", "plan"), ("77-1", None), ("PLAN-4", "plan"), ("type inferred from risk", None)])]
+    types = {"task": "things to do", "plan": "a plan of things"}
+    got = classify.classify_growing(
+        spark.createDataFrame(rows, "i int, raw_name string, raw_type_hint string"), spark.createDataFrame(list(types.items()), "name string, description string"), spark.createDataFrame([("DEPENDS_ON",)], "name string"), e, x, ["i"])
+    want, seen = [], set()
+    for _, n, h in rows:
+        if (n, h) not in seen:
+            seen.add((n, h))
+            want.append({"raw_name": n, "raw_type_hint": h})
+    fold = classify.fold(want, {k: e.embed([v])[0] for k, v in types.items()}, lambda t: e.embed([t])[0], x.judge, {"DEPENDS_ON"})
+    assert {(r["raw_name"], r["raw_type_hint"], r["outcome"], r["type"], r["judged"]) for r in got.collect()} == {(d["raw_name"], d["raw_type_hint"], d["outcome"], d["type"], d["judged"]) for d in fold}
+    assert {d["outcome"] for d in fold} >= {"new", "reserved"}
+
+
 def test_diff(spark):
     disk = spark.createDataFrame([("a", "1"), ("b", "2"), ("n", "3")], "file_path string, content_hash string")
     known = spark.createDataFrame([("a", "1"), ("b", "x"), ("gone", "4")], "file_path string, content_hash string")
