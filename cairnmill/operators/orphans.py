@@ -1,8 +1,9 @@
 """References to records that do not exist.
 
-Skew-aware split: references are pre-aggregated per key before any shuffle on the key; the few keys that
-many rows refer to are checked and joined by broadcast (their number is bounded by the share that makes a
-key heavy), all other keys by a shuffled anti-join; the orphans of both halves are united.
+Skew-aware split: references are pre-aggregated per key and period before any shuffle on the key; the few keys that
+hold a large share of all references are checked and joined by broadcast (their number is bounded by that share), all other
+keys by a shuffled anti-join; the orphan counts of both halves are united. The report sums those counts; the rows
+of orphans are the references that meet an orphan key.
 
 Defined results: null and blank references are no references; text that isn't a UUID is an orphan; a record
 that is repeated counts once, with the month of its earliest time ('unknown' if it has none); empty tables
@@ -11,11 +12,11 @@ give no rows; extra columns are ignored. Any repeated or tied row gives the same
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnmill.functions.ids import epoch, is_blank, uuid_key
+from cairnmill.session import Scratch
 from cairnmill.sources.tables import current_rows, live_ids, table
 
 #: A key is heavy if it holds at least 1/HEAVY_SHARE of all references, so there are at most HEAVY_SHARE heavy keys.
@@ -52,23 +53,35 @@ def entity_refs(entities: DataFrame) -> DataFrame:
     return now.select(ref.alias("_r"), F.col("id").alias("record_id"), month(F.when(at > float("-inf"), F.timestamp_seconds(at))).alias("period")).filter("_r is not null").select("_r.ref_field", "_r.key", "record_id", "period")
 
 
-def orphans(refs: DataFrame, live: DataFrame, heavy_share: int = HEAVY_SHARE) -> DataFrame:
-    """Rows of refs (ref_field, key, record_id, period) whose key isn't among live (ref_field, key). A null key is an orphan."""
-    refs = refs.persist(StorageLevel.MEMORY_AND_DISK)
-    on = ["ref_field", "key"]
-    counts = refs.filter("key is not null").groupBy(*on).agg(F.count("*").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(1000, -(-total // heavy_share))
-    heavy = counts.filter(F.col("n") >= least).select(*on)  # at most heavy_share rows
-    heavy_live = live.join(F.broadcast(heavy), on, "left_semi").distinct()
-    heavy_gone = heavy.join(F.broadcast(heavy_live), on, "left_anti")
-    light_gone = counts.filter(F.col("n") < least).select(*on).join(live, on, "left_anti")
-    known = refs.filter("key is not null")
-    return (
-        refs.filter("key is null")
-        .unionByName(known.join(F.broadcast(heavy_gone), on, "left_semi"))
-        .unionByName(known.join(F.broadcast(heavy), on, "left_anti").join(light_gone, on, "left_semi"))
-    )
+class Orphans:
+    """refs: (ref_field, key, record_id, period), each reference of a record once; live: (ref_field, key). A null key is an orphan."""
+
+    def __init__(self, refs: DataFrame, live: DataFrame, heavy_share: int = HEAVY_SHARE):
+        keep, on = Scratch(refs.sparkSession).keep, ["ref_field", "key"]
+        self.refs = refs = keep(refs, "refs")
+        self.counts = counts = keep(refs.filter("key is not null").groupBy(*on, "period").agg(F.count("*").alias("n")), "counts")  # map side first
+        per_key = counts.groupBy(*on).agg(F.sum("n").alias("n"))
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        least = max(1, -(-total // heavy_share))
+        self.heavy = heavy = keep(per_key.filter(F.col("n") >= least).select(*on), "heavy")  # at most heavy_share rows
+        heavy_live = live.join(F.broadcast(heavy), on, "left_semi").distinct()
+        self.heavy_gone = keep(heavy.join(F.broadcast(heavy_live), on, "left_anti"), "heavy-gone")
+        light = counts.join(F.broadcast(heavy), on, "left_anti")
+        self.light_gone = keep(light.join(live, on, "left_anti"), "light-gone")  # counts per key and period
+
+    def rows(self) -> DataFrame:
+        on = ["ref_field", "key"]
+        known = self.refs.filter("key is not null")
+        light = known.join(F.broadcast(self.heavy), on, "left_anti").join(self.light_gone.select(*on, "period"), [*on, "period"], "left_semi")
+        return self.refs.filter("key is null").unionByName(known.join(F.broadcast(self.heavy_gone), on, "left_semi")).unionByName(light)
+
+    def report(self) -> DataFrame:
+        """(ref_field, period, n_references, n_missing_keys) from the united counts; references that are no ids have no key."""
+        heavy = self.counts.join(F.broadcast(self.heavy_gone), ["ref_field", "key"], "left_semi")
+        unread = self.refs.filter("key is null").groupBy("ref_field", "period").agg(F.count("*").alias("n")).select("ref_field", F.lit(None).cast("binary").alias("key"), "period", "n")
+        united = self.light_gone.select("ref_field", "key", "period", "n").unionByName(heavy.select("ref_field", "key", "period", "n")).unionByName(unread)
+        # each (key, period) is one row of the counts, so keys need no distinct
+        return united.groupBy("ref_field", "period").agg(F.sum("n").alias("n_references"), F.count("key").alias("n_missing_keys"))
 
 
 def live_keys(entities: DataFrame, chunks: DataFrame, types: DataFrame) -> DataFrame:
@@ -82,22 +95,18 @@ def live_keys(entities: DataFrame, chunks: DataFrame, types: DataFrame) -> DataF
     )
 
 
-def orphan_rows(spark: SparkSession, folder: str) -> DataFrame:
+def of_tables(spark: SparkSession, folder: str) -> Orphans:
     rel = table(spark, folder, "relations").select("id", "target_entity_id", "evidence_chunk_id", "recorded_at")
     ent = table(spark, folder, "entities").select("id", "type_id", "updated_at", "deleted_at")
     chunks = table(spark, folder, "chunks").select("id", "updated_at", "deleted_at")
     types = table(spark, folder, "entity_types").select("id").distinct()
-    return orphans(relation_refs(rel).unionByName(entity_refs(ent)), live_keys(ent, chunks, types))
+    return Orphans(relation_refs(rel).unionByName(entity_refs(ent)), live_keys(ent, chunks, types))
 
 
 def found(spark: SparkSession, folder: str) -> DataFrame:
-    return orphan_rows(spark, folder).select("ref_field", "record_id", "period").distinct()
+    return of_tables(spark, folder).rows().select("ref_field", "record_id", "period").distinct()
 
 
 def report(spark: SparkSession, folder: str) -> DataFrame:
-    """Orphan references per referring field and month: records and distinct missing keys."""
-    return (
-        orphan_rows(spark, folder)
-        .groupBy("ref_field", "period")
-        .agg(F.count_distinct("record_id").alias("n_records"), F.count_distinct("key").alias("n_missing_keys"))
-    )
+    """Orphan references per referring field and month: references and distinct missing keys."""
+    return of_tables(spark, folder).report()

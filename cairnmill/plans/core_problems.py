@@ -14,6 +14,7 @@ def queries():
         "p2_report": orphans.report,
         "p3_found": drift.found,
         "p3_table": drift.unified,
+        "p3_records": drift.records,
         "p3_lifespans": drift.spans,
     }
 
@@ -90,5 +91,5 @@ WITH r AS (SELECT DISTINCT folder_scope, revision, record_id, file_path, payload
   i AS (SELECT v.*, ord - row_number() OVER (PARTITION BY v.folder_scope, key ORDER BY ord) AS island FROM v JOIN revs USING (folder_scope, revision))
 SELECT folder_scope, key, min(revision) AS first_revision, max(revision) AS last_revision, CAST(sum(n) AS BIGINT) AS n_values FROM i GROUP BY folder_scope, key, island""",
         "p2_found": f"{_ORPHANS} SELECT DISTINCT ref_field, record_id, period FROM gone",
-        "p2_report": f"{_ORPHANS} SELECT ref_field, period, count(DISTINCT record_id) AS n_records, count(DISTINCT key) AS n_missing_keys FROM gone GROUP BY 1, 2",
+        "p2_report": f"{_ORPHANS} SELECT ref_field, period, count(*) AS n_references, count(DISTINCT key) AS n_missing_keys FROM (SELECT DISTINCT ref_field, record_id, period, key FROM gone) GROUP BY 1, 2",
     }

@@ -72,3 +72,18 @@ def test_against_plain_counting(spark, sf):
     assert old == gone and fresh == new
     assert {(r["folder_scope"], r["revision"], r["old_field"]) for r in got if r["change"] == "retyped"} == retyped
     assert any(r["change"] == "renamed" for r in got)
+
+
+def test_one_record_shows_a_rename_and_a_new_type(spark):
+    """Islands per folder, key and type at the smallest scale; a lone flag is no evidence of a rename."""
+    rows = [(1, "f", "f/a.md", 1, '{"ref": "TASK-1", "n": 1, "on": true}'), (2, "f", "f/a.md", 2, '{"link": "TASK-1", "n": "1", "off": true}'), (3, "f", "f/a.md", 4, "{}"), (4, "f", "f/b.md", 4, "{cut")]
+    r = spark.createDataFrame(rows, "record_id bigint, folder_scope string, file_path string, revision int, payload string").selectExpr("*", "cast(null as string) as key_fingerprint")
+    p = spark.createDataFrame([], "folder_scope string, key_fingerprint string, field_mapping string, learned_at string")
+    d = Drift(r, p)
+    got = {(x["revision"], x["change"], x["old_field"], x["new_field"]) for x in d.changes().collect()}
+    assert got == {(2, "renamed", "ref", "link"), (2, "retyped", "n", "n"), (2, "removed", "on", ""), (2, "added", "", "off"), (4, "removed", "link", ""), (4, "removed", "n", ""), (4, "removed", "off", "")}
+    types = {(x["key"], x["type"], x["ord"], x["starts"], x["ends"]) for x in d.typed.collect() if x["key"] == "n"}
+    assert types == {("n", "*", 1, False, False), ("n", "*", 2, False, True), ("n", "number", 1, False, True), ("n", "string", 2, True, True)}
+    wide = {x["record_id"]: x for x in d.wide().collect()}
+    assert set(wide) == {1, 2, 3, 4} and wide[1]["texts"]["link"] == wide[2]["texts"]["link"] == "TASK-1" and wide[4]["payload"] == "{cut" and wide[1]["booleans"]["on"] is True
+    assert {x["record_id"]: x["cast"] for x in d.table().collect() if x["field"] is None} == {3: "empty", 4: "unreadable"}

@@ -9,13 +9,21 @@ def test_heavy_and_light_keys_agree(spark):
     rows = [("f", b"hot", f"r{i}", "2024-01") for i in range(3000)] + [("f", b"gone", f"g{i}", "2024-02") for i in range(2500)]
     rows += [("f", bytes([i]), f"l{i}", "2024-03") for i in range(200)] + [("f", None, "bad", "unknown"), ("g", b"hot", "other field", "2024-01")]
     live = spark.createDataFrame([("f", b"hot")] + [("f", bytes([i])) for i in range(0, 200, 2)], "ref_field string, key binary")
-    got = {r["record_id"] for r in orphans.orphans(refs(spark, rows), live, heavy_share=10).collect()}
+    got = {r["record_id"] for r in orphans.Orphans(refs(spark, rows), live, heavy_share=10).rows().collect()}
     assert got == {f"g{i}" for i in range(2500)} | {f"l{i}" for i in range(1, 200, 2)} | {"bad", "other field"}
 
 
+def test_heavy_keys_at_small_scale_and_report(spark):
+    rows = [("f", b"hot", f"r{i}", "2024-01") for i in range(30)] + [("f", b"gone", f"g{i}", f"2024-0{1 + i % 2}") for i in range(20)] + [("f", b"x", "l", "2024-01"), ("f", None, "bad", "2024-01")]
+    o = orphans.Orphans(refs(spark, rows), spark.createDataFrame([("f", b"hot")], "ref_field string, key binary"), heavy_share=5)
+    assert {bytes(r["key"]) for r in o.heavy.collect()} == {b"hot", b"gone"}
+    assert {(r["period"], r["n_references"], r["n_missing_keys"]) for r in o.report().collect()} == {("2024-01", 12, 2), ("2024-02", 10, 1)}
+    assert {r["record_id"] for r in o.rows().collect()} == {f"g{i}" for i in range(20)} | {"l", "bad"}
+
+
 def test_empty(spark):
     live = spark.createDataFrame([], "ref_field string, key binary")
-    assert orphans.orphans(refs(spark, []), live).count() == 0
+    assert orphans.Orphans(refs(spark, []), live).rows().count() == 0
 
 
 def test_blank_null_repeated(spark):
