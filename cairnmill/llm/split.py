@@ -11,6 +11,8 @@ content; CRLF and grapheme clusters are only cut where a cluster alone is longer
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pandas as pd
 import regex
@@ -35,17 +37,16 @@ _ROW = regex.compile(r"\s*\|.*\|\s*$")
 _SENTENCE = regex.compile(r"[.!?…][\"'”’»)\]]*\s+(?=\S)|[。！？](?=\S)")
 _CLAUSE = regex.compile(r"[,;:]\s+(?=\S)|[，；：、]\s*(?=\S)")
 _WORD = regex.compile(r"\s+(?=\S)")
-_START = regex.compile(r"(?<=\s)\S")
 _CLUSTER = regex.compile(r"\X")
 
 
 def boundaries(text: str, limit: int) -> dict[int, float]:
-    """Penalty of each place where text may be cut: lines and sentences, finer places only where those lie too far apart."""
+    """Penalty of each place where text may be cut: every line, sentence, clause and word, and places between characters where those lie far apart."""
     at: dict[int, float] = {}
     inside: list[tuple[int, int]] = []
     pos, fence, opened, blank, table_start = 0, None, 0, False, None
     lines = regex.findall(r"[^\n]*\n|[^\n]+", text)
-    front = bool(lines) and lines[0].lstrip("﻿").rstrip() == "---" and any(x.rstrip() == "---" for x in lines[1:60])
+    front = bool(lines) and lines[0].lstrip("﻿").rstrip() == "---" and any(x.rstrip() == "---" for x in lines[1:])
     for i, line in enumerate(lines):
         bare = line.rstrip()
         row = fence is None and bool(_ROW.match(bare))
@@ -77,20 +78,22 @@ def boundaries(text: str, limit: int) -> dict[int, float]:
         inside.append((table_start, pos))
     for m in _SENTENCE.finditer(text):
         at.setdefault(m.end(), SENTENCE)
-    for a, b in inside:
-        for p in at:
-            if a < p < b:
-                at[p] += INSIDE
-    gap = limit // 3
-    for pattern, penalty in ((_CLAUSE, CLAUSE), (_WORD, WORD), (_CLUSTER, CHARACTER)):
-        edges = [0, *sorted(at), len(text)]
-        for a, b in zip(edges, edges[1:]):
-            if b - a > gap:
-                last = a
-                for m in pattern.finditer(text, a, b):
-                    if last < m.end() < b and (penalty < CHARACTER or m.end() - last >= GRID):
-                        last = m.end()
-                        at.setdefault(last, penalty)
+    for pattern, penalty in ((_CLAUSE, CLAUSE), (_WORD, WORD)):
+        for m in pattern.finditer(text):
+            at.setdefault(m.end(), penalty)
+    if inside:
+        places = sorted(at)
+        for a, b in inside:  # ranges don't overlap, so each place is met once
+            for k in range(bisect_right(places, a), bisect_left(places, b)):
+                at[places[k]] += INSIDE
+    edges = [0, *sorted(at), len(text)]
+    for a, b in zip(edges, edges[1:]):
+        if b - a > GRID:  # within a long run without any boundary
+            last = a
+            for m in _CLUSTER.finditer(text, a, b):
+                if last < m.end() < b and m.end() - last >= GRID:
+                    last = m.end()
+                    at.setdefault(last, CHARACTER)
     edges = [0, *sorted(at), len(text)]
     for a, b in zip(edges, edges[1:]):  # a cluster longer than the limit
         for p in range(a + limit // 2, b, limit // 2) if b - a > limit - limit // 4 else ():
@@ -105,22 +108,26 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[in
     if len(text) <= limit:
         return [(0, len(text))]
     at = boundaries(text, limit)
-    places = [0, *sorted(at), len(text)]
+    places = np.array([0, *sorted(at), len(text)])
     n = len(places)
+    penalty = np.array([0.0, *(at[p] for p in places[1:-1].tolist()), 0.0])
     mean = len(text) / -(-(len(text)) // (limit - overlap))
-    start = [0] * n  # where the piece after a cut at places[i] begins
-    for i in range(1, n - 1):
-        start[i] = max(start[i - 1], overlap_start(text, places, i, overlap, at))
-    begin, cost = np.array(start), np.full(n, np.inf)
-    back = [0] * n
-    cost[0], low = 0.0, 0
+    begin = overlap_starts(text, places, penalty, overlap)  # never decreases, so the window of pieces within the limit only moves on
+    lows = np.searchsorted(begin, places - limit).tolist()
+    # a piece from begin[j] to end costs cost[j] + BALANCE ((end - begin[j] - mean) / mean)^2; without what is alike for all j:
+    scale, ends, pay = BALANCE / mean**2, places.tolist(), penalty.tolist()
+    away = begin + mean
+    base, back = np.full(n, np.inf), [0] * n
+    base[0] = scale * away[0] ** 2
+    own = (scale * away**2).tolist()
     for i in range(1, n):
-        end = places[i]
-        while low < i and end - start[low] > limit:  # starts never decrease, so the window only moves on
-            low += 1
-        x = cost[low:i] + BALANCE * ((end - begin[low:i] - mean) / mean) ** 2
-        j = int(x.argmin()) if low < i else 0
-        cost[i], back[i] = (x[j] if low < i else np.inf) + at.get(end, 0.0), low + j
+        low, end = lows[i], ends[i]
+        if low < i:
+            x = base[low:i] - (2 * scale * end) * away[low:i]
+            j = int(x.argmin())
+            base[i] = x[j] + scale * end * end + pay[i] + own[i]
+            back[i] = low + j
+    start, places = begin.tolist(), ends
     out, i = [], n - 1
     while i:
         j = back[i]
@@ -129,23 +136,33 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[in
     return out[::-1]
 
 
-def overlap_start(text: str, places: list[int], i: int, overlap: int, at: dict[int, float]) -> int:
-    """Where the piece after a cut begins: a line or sentence that leaves at least half of the overlap, else the earliest
+def overlap_starts(text: str, places: np.ndarray, penalty: np.ndarray, overlap: int) -> np.ndarray:
+    """Where the piece after a cut at each place begins: a line or sentence that leaves at least half of the overlap, else the earliest
     word within the overlap, else the earliest cluster; the cut itself if a cluster fills the overlap."""
-    cut, best, j = places[i], (WORD, 0), i - 1
-    while j > 0 and places[j] >= cut - overlap:
-        if places[j] <= cut - overlap // 2:
-            best = min(best, (at[places[j]], places[j]))
-        j -= 1
-    if best[0] < WORD:
-        return best[1]
-    low = max(1, cut - overlap)
-    if m := _START.search(text, low, cut):
-        return m.start()
-    for m in _CLUSTER.finditer(text, max(0, low - overlap), cut):
-        if low <= m.start() < cut:
-            return m.start()
-    return cut
+    out = places.copy()
+    out[0] = 0
+    low = np.searchsorted(places, places - overlap)
+    low[low == 0] = 1
+    high = np.searchsorted(places, places - overlap // 2, "right")
+    best = np.full(len(places), np.inf)
+    for k in range(int(max(0, (high - low).max(initial=0)))):
+        at = np.minimum(low + k, len(places) - 1)
+        better = (low + k < high) & (penalty[at] < best)
+        best[better], out[better] = penalty[at][better], places[at][better]
+    words = np.array([m.end() for m in _WORD.finditer(text)], np.int64)
+    none = best >= WORD
+    first = np.searchsorted(words, np.maximum(1, places - overlap))
+    word = np.append(words, len(text) + 1)[first]
+    found = none & (word < places)
+    out[found] = word[found]
+    for i in np.flatnonzero(none & ~found)[:].tolist():
+        cut, out[i] = int(places[i]), places[i]
+        for m in _CLUSTER.finditer(text, max(0, cut - 2 * overlap), cut) if overlap and 0 < i < len(places) - 1 else ():
+            if max(1, cut - overlap) <= m.start() < cut:
+                out[i] = m.start()
+                break
+    out[0] = 0
+    return np.maximum.accumulate(out)
 
 
 _PIECES = "array<struct<piece:int,start_char:int,end_char:int,overlap_chars:int,content:string>>"
@@ -184,5 +201,14 @@ def pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split(now, "chunk_id", "content")
 
 
+def lossless(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each live chunk: the text that its pieces give without their overlaps, whether they keep the limit and the overlap, and whether there are several."""
+    p = pieces(spark, folder)
+    part = F.coalesce(F.substring("content", F.col("overlap_chars") + 1, F.lit(2**31 - 1)), F.lit(""))
+    per = p.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("piece", part.alias("part")))).alias("ps"), F.max(F.length("content")).alias("longest"), F.max("overlap_chars").alias("most"), F.count("*").alias("n"))
+    text = F.array_join(F.transform("ps", lambda x: x["part"]), "")
+    return per.select("chunk_id", F.md5(F.encode(text, "UTF-8")).alias("rebuilt"), (F.coalesce("longest", F.lit(0)) <= LIMIT).alias("within_limit"), F.col("most").between(0, OVERLAP).alias("within_overlap"), (F.col("n") > 1).alias("cut"))
+
+
 def found(spark: SparkSession, folder: str) -> DataFrame:
     return pieces(spark, folder).filter("piece = 0 and n_pieces > 1").select("chunk_id")

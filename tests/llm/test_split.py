@@ -47,3 +47,31 @@ def test_rows(spark):
     assert split.split(df.limit(0), "id", "content").count() == 0
     with pytest.raises(ValueError, match="overlap"):
         split.split(df, "id", "content", 100, 90)
+
+
+def test_long_frontmatter_is_kept_together():
+    """A block of any number of lines counts as frontmatter: cuts inside of it cost more."""
+    for n in (50, 70, 400):
+        text = "---\n" + "".join(f"key{i}: value\n" for i in range(n)) + "---\n\n# Title\n"
+        at = split.boundaries(text, 768)
+        assert at[text.index("key5:")] == split.LINE + split.INSIDE and at[text.index("# Title")] == split.HEADING
+
+
+def test_words_are_boundaries_everywhere():
+    text = "One two. Three, four five\nsix seven. " * 40
+    at = split.boundaries(text, 768)
+    assert at[text.index("two")] == split.WORD and at[text.index("four")] == split.CLAUSE and at[text.index("Three")] == split.SENTENCE
+
+
+def test_many_tables_take_linear_time():
+    import time
+
+    def run(n):
+        text = "Some words here.\n\n| a | b |\n| 1 | 2 |\n\n" * n
+        t = time.time()
+        got = split.cuts(text)
+        assert got[-1][1] == len(text)
+        return time.time() - t
+
+    run(200)
+    assert run(8000) < 40 * max(run(400), 0.02)
