@@ -17,6 +17,7 @@ def queries():
         "p6_ids": lambda spark, folder: bpe.encode_column(table(spark, folder, "documents"), "doc_id", "text"),
         "p7_packing": packing.packing,
         "p7_fill": packing.fill,
+        "p7_relatedness": packing.relatedness,
         "p8_found": mojibake.found,
         "p8_repaired": mojibake.repaired,
     }

@@ -57,5 +57,41 @@ def test_shards_and_empty(spark):
 def test_bm25_finds_the_nearest():
     docs = [[1, 2, 3], [1, 2, 4], [5, 6, 7], [1, 8, 9]]
     ids, ends = np.array([x for d in docs for x in d], np.int32), np.cumsum([0, *map(len, docs)])
-    near = packing.Index(ids, ends).neighbours(0, np.ones(4, bool))
+    near = packing.Index(ids, ends, packing.Statistics(np.bincount(ids, minlength=10), 4, 12)).neighbours(0, np.ones(4, bool))
     assert near.tolist() == [1, 3]
+
+
+def test_scores_are_those_of_plain_bm25():
+    """Dense and sparse terms together give the scores of the formula, with the corpus's frequencies and not the shard's."""
+    rng = np.random.default_rng(4)
+    docs = [rng.zipf(1.5, rng.integers(5, 60)) % 50 for _ in range(60)]
+    ids, ends = np.concatenate(docs), np.cumsum([0, *map(len, docs)])
+    df = np.bincount([t for d in docs for t in set(d.tolist())], minlength=50) * 3
+    stats = packing.Statistics(df, 200, 6000)
+    index = packing.Index(ids, ends, stats)
+    for q in (0, 7, 59):
+        want = []
+        for d in docs:
+            tf = Counter(d.tolist())
+            want.append(sum(stats.idf[t] * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(d) / 30)) for t in set(docs[q].tolist()) if tf[t]))
+        assert np.allclose(index.scores(q), want, rtol=1e-4)
+
+
+def test_related_texts_meet_across_the_corpus(spark):
+    """Shards hold what belongs together, wherever it lies in the table; random dealing doesn't."""
+    rng = np.random.default_rng(8)
+    topics = [[f"w{t}x{k}" for k in range(30)] for t in range(12)]
+    rows = [(int(i), " ".join(rng.choice(topics[i % 12], 25)), 1) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, piece int").repartition(6)
+    p = packing.Packing(df, capacity=600, shard_rows=100)
+    r = p.relatedness().first()
+    loose = packing.Packing(df, capacity=600, shard_rows=100, by_content=False).relatedness().first()
+    assert r["within"] > 0.5 > loose["within"] + 0.05 or r["within"] > loose["within"] + 0.1
+    assert r["at_random"] < 0.3
+
+
+def test_a_third_of_copies_is_no_hot_shard(spark):
+    rows = [(i, "the same text again and again", 1) for i in range(2000)] + [(5000 + i, f"text {i} on subject {i % 7}", 1) for i in range(2000)]
+    p = packing.Packing(spark.createDataFrame(rows, "doc_id bigint, text string, piece int"), shard_rows=200)
+    sizes = [r["count"] for r in p.shards.groupBy("centroid", "part").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 4 * 200
