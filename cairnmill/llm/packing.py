@@ -257,17 +257,18 @@ class Packing:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near, pa.int32()), pa.array(np.round((x @ axis).astype(np.float64), 4))], names=["row", "doc_id", "n", "ids", "centroid", "along"])
 
         dealt = encoded.mapInArrow(assign, "row bigint, doc_id bigint, n int, ids binary, centroid int, along double")
-        placed = scratch.keep(dealt.select("row", "n", "centroid", "along"), "dealt")
+        self.encoded = dealt = scratch.keep(dealt, "dealt")
+        scratch.drop("encoded")
         # a centroid with too many tokens or rows is cut where its texts along one axis reach equal shares
-        load = placed.groupBy("centroid").agg(F.greatest(F.ceil(F.sum("n") / SHARD_TOKENS), F.ceil(F.count("*") / (2 * shard_rows))).cast("int").alias("parts"))
+        load = dealt.groupBy("centroid").agg(F.greatest(F.ceil(F.sum("n") / SHARD_TOKENS), F.ceil(F.count("*") / (2 * shard_rows))).cast("int").alias("parts"))
         parts = {r["centroid"]: r["parts"] for r in load.collect()}  # at most MAX_CENTROIDS rows
         cut, most = [z for z, p in parts.items() if p > 1], max(parts.values(), default=1)
-        at = placed.filter(F.col("centroid").isin(cut)).join(load, "centroid") if cut else None
+        at = dealt.filter(F.col("centroid").isin(cut)).join(load, "centroid") if cut else None
         edges = {} if at is None else {r["centroid"]: r["edges"] for r in at.groupBy("centroid").agg(F.max("parts").alias("parts"), F.percentile_approx("along", [k / (4 * most) for k in range(1, 4 * most)], 20 * most).alias("edges")).collect()}
         bounds = {z: np.array(e)[np.linspace(-1, 4 * most - 1, parts[z] + 1).astype(int)[1:-1]] for z, e in edges.items()}
 
         def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in assign(batches):
+            for b in batches:
                 z, along = b.column(4).to_numpy(), b.column(5).to_numpy()
                 part = np.zeros(len(z), np.int32)
                 for k in np.unique(z):
@@ -277,7 +278,7 @@ class Packing:
                         part[of] = low + (b.column(0).to_numpy()[of] * 2_654_435_761 >> 7) % (high - low + 1)
                 yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(part)], names=["row", "doc_id", "n", "ids", "centroid", "part"])
 
-        self.shards = encoded.mapInArrow(shard, "row bigint, doc_id bigint, n int, ids binary, centroid int, part int")
+        self.shards = dealt.mapInArrow(shard, "row bigint, doc_id bigint, n int, ids binary, centroid int, part int")
 
     def packed(self) -> DataFrame:
         """(container_id, place, doc_id, piece, first_token, n_tokens)."""
