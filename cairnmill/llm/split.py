@@ -11,8 +11,6 @@ content; CRLF and grapheme clusters are only cut where a cluster alone is longer
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-
 import numpy as np
 import pandas as pd
 import regex
@@ -41,7 +39,11 @@ _CLUSTER = regex.compile(r"\X")
 
 
 def boundaries(text: str, limit: int) -> dict[int, float]:
-    """Penalty of each place where text may be cut: every line, sentence, clause and word, and places between characters where those lie far apart."""
+    return dict(zip(*(x.tolist() for x in marks(text, limit))))
+
+
+def marks(text: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and penalties of each place where text may be cut: every line, sentence, clause and word, and places between characters where those lie far apart."""
     at: dict[int, float] = {}
     inside: list[tuple[int, int]] = []
     pos, fence, opened, blank, table_start = 0, None, 0, False, None
@@ -76,41 +78,44 @@ def boundaries(text: str, limit: int) -> dict[int, float]:
         inside.append((opened, pos))
     if table_start is not None:
         inside.append((table_start, pos))
-    for m in _SENTENCE.finditer(text):
-        at.setdefault(m.end(), SENTENCE)
-    for pattern, penalty in ((_CLAUSE, CLAUSE), (_WORD, WORD)):
-        for m in pattern.finditer(text):
-            at.setdefault(m.end(), penalty)
-    if inside:
-        places = sorted(at)
-        for a, b in inside:  # ranges don't overlap, so each place is met once
-            for k in range(bisect_right(places, a), bisect_left(places, b)):
-                at[places[k]] += INSIDE
-    edges = [0, *sorted(at), len(text)]
-    for a, b in zip(edges, edges[1:]):
-        if b - a > GRID:  # within a long run without any boundary
-            last = a
-            for m in _CLUSTER.finditer(text, a, b):
-                if last < m.end() < b and m.end() - last >= GRID:
-                    last = m.end()
-                    at.setdefault(last, CHARACTER)
-    edges = [0, *sorted(at), len(text)]
-    for a, b in zip(edges, edges[1:]):  # a cluster longer than the limit
-        for p in range(a + limit // 2, b, limit // 2) if b - a > limit - limit // 4 else ():
-            at.setdefault(p, 10 * CHARACTER)
-    at.pop(0, None)
-    at.pop(len(text), None)
-    return at
+    found = [list(at)] + [[m.end() for m in p.finditer(text)] for p in (_SENTENCE, _CLAUSE, _WORD)]
+    kinds = np.repeat([0.0, SENTENCE, CLAUSE, WORD], list(map(len, found)))
+    kinds[: len(at)] = list(at.values())
+    places, first = np.unique(np.array([p for f in found for p in f], np.int64), return_index=True)  # the first kind of a place counts
+    penalty = kinds[first]
+    for a, b in inside:
+        penalty[np.searchsorted(places, a, "right") : np.searchsorted(places, b)] += INSIDE
+    edges = np.concatenate([[0], places, [len(text)]])
+    more: dict[int, float] = {}
+    for k in np.flatnonzero(np.diff(edges) > GRID).tolist():  # a long run without any boundary
+        a, b = int(edges[k]), int(edges[k + 1])
+        last = a
+        for m in _CLUSTER.finditer(text, a, b):
+            if last < m.end() < b and m.end() - last >= GRID:
+                last = m.end()
+                more[last] = CHARACTER
+    if more:
+        places, penalty = _with(places, penalty, more)
+    edges = np.concatenate([[0], places, [len(text)]])
+    wide = np.flatnonzero(np.diff(edges) > limit - limit // 4)
+    if len(wide):  # a cluster longer than the limit
+        places, penalty = _with(places, penalty, {p: 10 * CHARACTER for k in wide.tolist() for p in range(int(edges[k]) + limit // 2, int(edges[k + 1]), limit // 2)})
+    within = (places > 0) & (places < len(text))
+    return places[within], penalty[within]
+
+
+def _with(places: np.ndarray, penalty: np.ndarray, more: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
+    out, first = np.unique(np.concatenate([places, np.array(list(more), np.int64)]), return_index=True)
+    return out, np.concatenate([penalty, list(more.values())])[first]
 
 
 def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
     """(start, end) of each piece."""
     if len(text) <= limit:
         return [(0, len(text))]
-    at = boundaries(text, limit)
-    places = np.array([0, *sorted(at), len(text)])
+    places, penalty = marks(text, limit)
+    places, penalty = np.concatenate([[0], places, [len(text)]]), np.concatenate([[0.0], penalty, [0.0]])
     n = len(places)
-    penalty = np.array([0.0, *(at[p] for p in places[1:-1].tolist()), 0.0])
     mean = len(text) / -(-(len(text)) // (limit - overlap))
     begin = overlap_starts(text, places, penalty, overlap)  # never decreases, so the window of pieces within the limit only moves on
     lows = np.searchsorted(begin, places - limit).tolist()
@@ -141,26 +146,28 @@ def overlap_starts(text: str, places: np.ndarray, penalty: np.ndarray, overlap:
     word within the overlap, else the earliest cluster; the cut itself if a cluster fills the overlap."""
     out = places.copy()
     out[0] = 0
-    low = np.searchsorted(places, places - overlap)
-    low[low == 0] = 1
-    high = np.searchsorted(places, places - overlap // 2, "right")
+    strong = np.flatnonzero(penalty[1:-1] < WORD) + 1
+    theirs, costs = places[strong], penalty[strong]
+    low, high = np.searchsorted(theirs, places - overlap), np.searchsorted(theirs, places - overlap // 2, "right")
     best = np.full(len(places), np.inf)
-    for k in range(int(max(0, (high - low).max(initial=0)))):
-        at = np.minimum(low + k, len(places) - 1)
-        better = (low + k < high) & (penalty[at] < best)
-        best[better], out[better] = penalty[at][better], places[at][better]
+    for k in range(int((high - low).max(initial=0))):
+        of = np.flatnonzero(low + k < high)
+        cost = costs[low[of] + k]
+        better = cost < best[of]
+        best[of[better]], out[of[better]] = cost[better], theirs[low[of[better]] + k]
     words = np.array([m.end() for m in _WORD.finditer(text)], np.int64)
-    none = best >= WORD
+    none = np.isinf(best)
     first = np.searchsorted(words, np.maximum(1, places - overlap))
     word = np.append(words, len(text) + 1)[first]
     found = none & (word < places)
     out[found] = word[found]
-    for i in np.flatnonzero(none & ~found)[:].tolist():
-        cut, out[i] = int(places[i]), places[i]
-        for m in _CLUSTER.finditer(text, max(0, cut - 2 * overlap), cut) if overlap and 0 < i < len(places) - 1 else ():
-            if max(1, cut - overlap) <= m.start() < cut:
-                out[i] = m.start()
-                break
+    bare = none & ~found
+    bare[[0, -1]] = False
+    if overlap and bare.any():
+        clusters = np.array([m.start() for m in _CLUSTER.finditer(text)], np.int64)
+        start = np.append(clusters, len(text) + 1)[np.searchsorted(clusters, np.maximum(1, places - overlap))]
+        inner = bare & (start < places)
+        out[inner] = start[inner]
     out[0] = 0
     return np.maximum.accumulate(out)
 
