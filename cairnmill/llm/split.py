@@ -164,7 +164,8 @@ def overlap_starts(text: str, places: np.ndarray, penalty: np.ndarray, overlap:
     bare = none & ~found
     bare[[0, -1]] = False
     if overlap and bare.any():
-        clusters = np.array([m.start() for m in _CLUSTER.finditer(text)], np.int64)
+        a, b = int(places[bare].min()), int(places[bare].max())
+        clusters = np.array([m.start() for m in _CLUSTER.finditer(text, max(0, a - 2 * overlap), b)], np.int64)
         start = np.append(clusters, len(text) + 1)[np.searchsorted(clusters, np.maximum(1, places - overlap))]
         inner = bare & (start < places)
         out[inner] = start[inner]
