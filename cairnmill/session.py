@@ -30,8 +30,11 @@ _made: list[tuple[SparkSession, str]] = []
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or, where that is unset (tests), a temporary one."""
     conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir", None) or spark.conf.get("cairnmill.scratch", None)
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    base = conf.get("spark.checkpoint.dir", None) or spark.conf.get("cairnmill.scratch", None) or (given.get() if given.isDefined() else None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="cairnmill-")
         spark.conf.set("cairnmill.scratch", base)
         _made.append((spark, base))
