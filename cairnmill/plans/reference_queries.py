@@ -11,6 +11,7 @@ from cairnmill.functions.vectors import usable
 from cairnmill.operators import chunking, classify, frontmatter, graph, registry, router, search, sync
 from cairnmill.plans.stream_query import STREAM_KNOWN
 from cairnmill.schemas import FRONTMATTER_CONCEPTS, STOPWORDS
+from cairnmill.session import Scratch
 from cairnmill.sources.tables import current_rows, live_ids, table
 
 DIM = 96
@@ -98,8 +99,9 @@ SYNONYMS = {"owner": "owned_by"}
 
 def parsed(spark, folder):
     """Frontmatter of all documents through learned profiles: concepts instead of keys."""
-    values = frontmatter.values(table(spark, folder, "documents").filter("file_path is not null").select("file_path", "text"), "file_path", "text")
-    return frontmatter.by_concept(values, learned(values), "file_path")
+    keep = Scratch(spark).keep  # parsed once, used several times
+    values = keep(frontmatter.values(table(spark, folder, "documents").filter("file_path is not null").select("file_path", "text"), "file_path", "text"), "values")
+    return keep(frontmatter.by_concept(values, learned(values), "file_path"), "meant")
 
 
 def learned(values):
