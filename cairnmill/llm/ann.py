@@ -6,13 +6,18 @@ they hold enough vectors; all vectors of those cells are compared.
 
 How many are enough isn't fixed but measured: CALIBRATE queries are compared with every entry, and the traversal
 goes as far as RECALL of their true neighbours lie, times MARGIN. So the searched share follows the data at every size;
-recall() measures the result against brute force, and exact=True compares everything with everything.
+recall() measures the result against brute force, and exact=True compares everything with everything. Where only neighbours of
+at least some similarity are wanted, CALIBRATE_LEAST queries are compared, and the traversal takes every cell as near as those
+of all their wanted neighbours (in distance beyond the nearest pair of centroids), times MARGIN; if they have fewer than ENOUGH
+of those, it goes as far as for all neighbours.
 
 The number of centroids grows with the root of the entries up to MAX_CENTROIDS a half, which bounds what is sent to the
 workers (three numbers a cell). Exact copies (equal unit vectors) are one entry of the index with all their rows as
 members, so no group of copies is compared with itself. Neighbouring cells are packed into blocks by the number of entries
 for each core, BLOCK_ROWS at most (a cell above that is cut into several); a query goes once to each block that holds
-any of its cells, and the queries of a block are dealt to tasks by load, each task in a partition of its own.
+any of its cells, and the queries of a block are dealt to tasks by load, each task in a partition of its own. Only the distance
+that its traversal ended at goes with a query, not its cells. A task holds its block; queries pass by in slices, of which neither
+the cells (PROBES) nor the similar entries (KEPT) exceed a number, however deep the traversal is.
 
 Bounded, documented samples: SAMPLE vectors fit the centroids, CALIBRATE queries set the depth. All vectors are indexed and queried.
 
@@ -39,11 +44,19 @@ DIM, K = 96, 10
 SAMPLE = 20_000
 #: Mean entries of a cell, up to MAX_CENTROIDS centroids a half (so there are at most MAX_CENTROIDS^2 cells).
 CELL_ROWS, MAX_CENTROIDS = 64, 2048
-BLOCK_ROWS, QUERY_ROWS = 128_000, 32_000
+BLOCK_ROWS, QUERY_ROWS = 64_000, 32_000
+#: Queries that pass by a block in one task (about).
+TASK_ROWS = 512_000
 #: Regions that cells are packed by.
 COARSE = 256
 #: Queries, at most about this many, whose true neighbours set how far every traversal goes: as far as RECALL of them, times MARGIN.
 CALIBRATE, RECALL, MARGIN = 512, 0.99, 1.5
+#: The same where only some neighbours are wanted: queries, and wanted neighbours of theirs that are enough to go by.
+CALIBRATE_LEAST, ENOUGH = 4096, 50
+#: Pairs of a query and a cell, and of a query and a similar entry, that a task holds at once (about).
+PROBES, KEPT = 500_000, 1_000_000
+#: Cells a query from which all cells are sorted instead of taken from a heap; cells of traversals that blocks are planned by.
+DEEP, PLANNED = 400, 4_000_000
 #: Members whose greatest similarity is taken together for a query's bar.
 GROUP = 64
 
@@ -151,18 +164,18 @@ class MultiIndex:
         self.parts[self.order] = np.where(large, (end - 1) // block_rows - first + 1, 1)
         self.blocks = int((end[-1] - 1) // block_rows) + 1
 
-    def plan(self, traversed: list[list[int]], n: int, cores: int) -> None:
+    def plan(self, traversed: list[np.ndarray], n: int, cores: int) -> None:
         """Block size and tasks that send the fewest rows, with a task for each core and no task above its bounds."""
         best, most = None, min(BLOCK_ROWS, n)
         for rows in {-(-most // m): None for m in (1, 2, 3, 4, 6, 8, 12, 16, 32, 64)}:
             self.pack(rows)
-            load = np.bincount([b for c in traversed for b in self.blocks_of(c)], minlength=self.blocks) * (n / len(traversed))
-            self.deal(load, int(max(cores, load.sum() / QUERY_ROWS)))
+            load = np.bincount(np.concatenate([self.blocks_of(c) for c in traversed]), minlength=self.blocks) * (n / len(traversed))
+            self.deal(load, int(max(cores, load.sum() / TASK_ROWS)))
             sent = load.sum() + self.tasks.sum() / self.blocks * n
             if best is None or sent < best[0]:
                 best = sent, rows, load
         self.pack(best[1])
-        self.deal(best[2], int(max(cores, best[2].sum() / QUERY_ROWS)))
+        self.deal(best[2], int(max(cores, best[2].sum() / TASK_ROWS)))
 
     def deal(self, load: np.ndarray, tasks: int) -> None:
         """Tasks of each block by its share of the load; `offset` is a block's first task."""
@@ -181,76 +194,142 @@ class MultiIndex:
             out.append(met[back])
         return np.concatenate(out) if out else np.empty(0, np.int64)
 
-    def blocks_of(self, cells: list[int]) -> dict[int, list[int]]:
-        """The cells of each block that holds any of them; a cell in parts is in several."""
-        to: dict[int, list[int]] = {}
-        for c, first, parts in zip(cells, self.first[cells].tolist(), self.parts[cells].tolist()):
-            for p in range(parts):
-                to.setdefault(first + p, []).append(c)
-        return to
+    def blocks_of(self, cells: np.ndarray) -> np.ndarray:
+        """The blocks that hold any of the cells; a cell in parts is in several."""
+        first, parts = self.first[cells], self.parts[cells]
+        if (parts > 1).any():
+            first = np.repeat(first, parts) + np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        return np.unique(first)
 
-    def traverse(self, x: np.ndarray, candidates: int) -> Iterator[list[int]]:
-        """For each row of x, the cells to compare it with: nearest pair first, until they hold enough entries."""
+    def slices(self, n: int) -> Iterator[slice]:
+        """Rows to traverse at a time, so that their distances to all centroids stay small."""
+        step = max(16, 200_000 // self.k)
+        return (slice(s, s + step) for s in range(0, n, step))
+
+    def beyond(self, x: np.ndarray, cells: list[np.ndarray]) -> np.ndarray:
+        """For each row of x and each of its given cells, how much farther that is than the nearest pair of centroids."""
+        a, b = self.distances(x)
+        least = a.min(axis=1) + b.min(axis=1)
+        return np.concatenate([np.empty(0, np.float32), *(a[i, c // self.k] + b[i, c % self.k] - least[i] for i, c in enumerate(cells))])
+
+    def traverse(self, x: np.ndarray, candidates: int, beyond: float = np.inf) -> Iterator[tuple[float, np.ndarray]]:
+        """For each row of x, the cells to compare it with, nearest pair first until they hold enough entries or lie farther beyond it, and the distance of the last."""
+        some = np.flatnonzero(self.counts)
+        if beyond == np.inf and candidates * len(some) > DEEP * self.counts[some].sum(dtype=np.int64):
+            held, ones, twos = self.counts[some].astype(np.int64), some // self.k, some % self.k
+            for rows in self.slices(len(x)):
+                for a, b in zip(*self.distances(x[rows])):
+                    d = a[ones] + b[twos]
+                    order = d.argsort()
+                    n = min(len(some), int(np.searchsorted(np.cumsum(held[order]), candidates)) + 1)
+                    yield float(d[order[n - 1]]), some[order[:n]]
+            return
+        for rows in self.slices(len(x)):
+            yield from self._near(x[rows], candidates, beyond)
+
+    def _near(self, x: np.ndarray, candidates: int, beyond: float) -> Iterator[tuple[float, np.ndarray]]:
         a, b = self.distances(x)
         oa, ob = a.argsort(axis=1), b.argsort(axis=1)
         sa, sb = np.take_along_axis(a, oa, 1), np.take_along_axis(b, ob, 1)
-        counts, k, na, nb = self.counts.tolist(), self.k, a.shape[1], b.shape[1]
+        counts, k, na, nb = self.counts, self.k, a.shape[1], b.shape[1]
         for da, db, ia, ib in zip(sa.tolist(), sb.tolist(), oa.tolist(), ob.tolist()):
-            heap, popped, got, out = [(da[0] + db[0], 0, 0)], [0] * na, 0, []  # popped[i]: how many pairs of row i are taken
-            while heap and got < candidates:
-                _, i, j = heapq.heappop(heap)
+            heap, popped, got, out, last = [(da[0] + db[0], 0, 0)], [0] * na, 0, [], da[0] + db[0]  # popped[i]: how many pairs of row i are taken
+            end = da[0] + db[0] + beyond
+            while heap and got < candidates and heap[0][0] <= end:
+                d, i, j = heapq.heappop(heap)
                 popped[i] = j + 1
                 cell = ia[i] * k + ib[j]
-                if n := counts[cell]:
+                if n := counts.item(cell):
                     got += n
                     out.append(cell)
+                    last = d
                 if i + 1 < na and popped[i + 1] == j:
                     heapq.heappush(heap, (da[i + 1] + db[j], i + 1, j))
                 if j + 1 < nb and (i == 0 or popped[i - 1] > j + 1):
                     heapq.heappush(heap, (da[i] + db[j + 1], i, j + 1))
-            yield out
-
-
-def compare(members: np.ndarray, member_ids: np.ndarray, member_cells: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, probes: list, k: int, least: float | None = None):
-    """Top k entries of one block for each query: (row, entry, similarity); with `least`, only what is about as similar."""
-    order = np.argsort(member_cells, kind="stable")
-    members, member_ids, member_cells = members[order], member_ids[order], member_cells[order]
-    lengths = np.fromiter(map(len, probes), np.int64, len(probes))
-    rows = np.repeat(np.arange(len(probes)), lengths)
-    cells = np.concatenate([np.asarray(p, np.int64) for p in probes])
-    nearest = np.zeros(len(rows), bool)
-    nearest[np.cumsum(lengths) - lengths] = True  # a query's cells come nearest first
+            yield last, np.array(out, np.int64)
+
+
+class Block:
+    """The members of a task, by cell."""
+
+    def __init__(self, index: MultiIndex, vecs: list[np.ndarray], ids: list[np.ndarray], cells: list[np.ndarray]):
+        of = np.concatenate(cells)
+        order = np.argsort(of, kind="stable")
+        self.index, self.ids = index, np.concatenate(ids)[order]
+        self.members = np.concatenate(vecs)
+        vecs.clear()
+        self.members = self.members[order]
+        self.cells, starts = np.unique(of[order], return_index=True)
+        self.starts = np.append(starts, len(of))
+
+    def best(self, queries: np.ndarray, query_ids: np.ndarray, reach: np.ndarray, k: int, least: float | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(entry, near, similarity): the top k of the block for each query, compared with the cells up to its reach."""
+        ones, twos = self.cells // self.index.k, self.cells % self.index.k
+        step = max(1, PROBES // len(self.cells))
+        begin, held, found = 0, 0, []
+        for s in range(0, len(queries), step):
+            a, b = self.index.distances(queries[s : s + step])
+            d = a[:, ones] + b[:, twos]
+            near = d <= reach[s : s + step, None] + 1e-5  # distances may differ in the last digits from those that were sent
+            rows, cells = np.nonzero(near)
+            nearest = cells == d.argmin(axis=1)[rows]
+            found.append(((rows + s - begin).astype(np.int32), cells.astype(np.int32), nearest))
+            held += len(rows)
+            end = min(len(queries), s + step)
+            if held >= PROBES or end == len(queries):
+                r, m, sims = compare(self.members, self.ids, self.starts, queries[begin:end], query_ids[begin:end], *map(np.concatenate, zip(*found)), k, least)
+                yield query_ids[begin:end][r], m, sims
+                begin, held, found = end, 0, []
+
+
+def best_of(r: np.ndarray, m: np.ndarray, s: np.ndarray, ids: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (row, member, similarity), the top k of each of n rows, equal similarities by the members' ids."""
+    order = np.lexsort((ids[m], -s, r))
+    r, m, s = r[order], m[order], s[order]
+    top = np.arange(len(r)) - np.searchsorted(r, np.arange(n))[r] < k
+    return r[top], m[top], s[top]
+
+
+def compare(members: np.ndarray, member_ids: np.ndarray, starts: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, cells: np.ndarray, nearest: np.ndarray, k: int, least: float | None = None):
+    """Top k entries of one block for each query: (row, entry, similarity); with `least`, only what is about as similar.
+
+    Members lie by cell, from starts[cell] on. rows, cells: which query meets which cell; nearest: whether that is its nearest.
+    """
     floor = np.float32(-np.inf if least is None else least - 1e-5)
-    bar = np.full(len(queries), floor, np.float32)  # the (k + 1)-th best of its first cell of more than k
-    keep_r, keep_m, keep_s = [], [], []
+    bar = np.full(len(queries), floor, np.float32)  # what the (k + 1)-th best reaches at least
+    keep, held, most = [], 0, KEPT
     for turn in (nearest, ~nearest):  # the nearest cells set bars that little of the others passes
         by_cell = np.flatnonzero(turn)
         by_cell = by_cell[np.argsort(cells[by_cell], kind="stable")]
         r_of, c_of = rows[by_cell], cells[by_cell]
-        for cell in np.unique(c_of):
-            lo, hi = np.searchsorted(member_cells, [cell, cell + 1])
-            a, b = np.searchsorted(c_of, [cell, cell + 1])
+        some, begins = np.unique(c_of, return_index=True)
+        for cell, a, b in zip(some.tolist(), begins.tolist(), [*begins.tolist()[1:], len(c_of)]):
+            lo, hi = int(starts[cell]), int(starts[cell + 1])
             step = max(1, 2_000_000 // max(1, hi - lo))
-            for s in range(a, b if hi > lo else a, step):
+            for s in range(a, b, step):
                 r = r_of[s : min(b, s + step)]
                 sims = queries[r] @ members[lo:hi].T
                 fresh = np.flatnonzero(bar[r] == floor) if least is None else ()
                 if len(fresh) and hi - lo > k:
                     bar[r[fresh]] = np.partition(sims[fresh], hi - lo - k - 1, axis=1)[:, hi - lo - k - 1]
                 i, j = np.nonzero(sims >= bar[r][:, None])
-                keep_r.append(r[i].astype(np.int32))
-                keep_m.append((lo + j).astype(np.int32))
-                keep_s.append(sims[i, j])
-    if not keep_r:
+                keep.append((r[i], (lo + j).astype(np.int32), sims[i, j]))
+                held += len(i)
+                if held > most:  # only the k + 1 best of each query stay, and raise its bar
+                    keep = [best_of(*map(np.concatenate, zip(*keep)), member_ids, len(queries), k + 1)]
+                    r, _, sims = keep[0]
+                    ends = np.searchsorted(r, np.arange(len(queries)), "right")
+                    full = np.flatnonzero(np.diff(ends, prepend=0) > k)
+                    bar[full] = np.maximum(bar[full], sims[ends[full] - 1])
+                    held = len(r)
+                    most = held + KEPT
+    if not keep:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
-    r, m, s = np.concatenate(keep_r), member_ids[np.concatenate(keep_m)], np.concatenate(keep_s)
-    other = m != query_ids[r]
-    r, m, s = r[other], m[other], s[other]
-    order = np.lexsort((m, -s, r))
-    r, m, s = r[order], m[order], s[order]
-    starts = np.searchsorted(r, np.arange(len(queries)))
-    top = np.arange(len(r)) - starts[r] < k
-    return r[top], m[top], s[top]
+    r, m, s = map(np.concatenate, zip(*keep))
+    other = member_ids[m] != query_ids[r]
+    r, m, s = best_of(r[other], m[other], s[other], member_ids, len(queries), k)
+    return r, member_ids[m], s
 
 
 def compare_all(members: np.ndarray, member_ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, least: float | None = None):
@@ -291,7 +370,7 @@ class Neighbours:
         self.copies = copies = s.keep(suspects.join(groups, "vec").select("row", "key", "entry"), "copies")
         self.entries = plain = rows.join(copies.filter("row <> entry").select("row"), "row", "left_anti").select(F.col("row").alias("entry"), "vec")
         n = plain.count()
-        self.n, self.found, self.candidates = n, None, None
+        self.n, self.found, self.candidates, self.beyond = n, None, None, np.inf
         if n:
             self.found = s.keep(self._best(self._all(plain, n, plain, n, dim, k, least) if exact else self._search(least), k), "found")
 
@@ -315,21 +394,29 @@ class Neighbours:
 
         counted = plain.select("vec").mapInArrow(cells, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most MAX_CENTROIDS^2 rows
         index.count(counted.column("cell").to_numpy(), counted.column("n").to_numpy())
-        asked = self._sample(CALIBRATE, 1).collect() or [plain.first()]
+        asked = self._sample(CALIBRATE if least is None else CALIBRATE_LEAST, 1).collect() or [plain.first()]
         queries = matrix([r["vec"] for r in asked], dim)
-        near: dict[int, list[int]] = {r["entry"]: [] for r in asked}
-        for r in self._best(self._exact([r["entry"] for r in asked], queries, centroids), k).select("entry", "near").collect():  # k rows a query; near is a cell
-            near[r["entry"]].append(r["near"] >> 40)
-        met = index.depth(queries, [np.array(near[r["entry"]], np.int64) for r in asked])
-        self.candidates = int(np.ceil(np.quantile(met, RECALL) * MARGIN)) if len(met) else 1
-        index.plan(list(index.traverse(queries, self.candidates)), n, context.defaultParallelism)
-        whole, candidates = context.broadcast(index), self.candidates
+        far = index.beyond(queries, self._true_cells(centroids, asked, queries, least)) if least is not None else ()
+        if len(far) >= ENOUGH:
+            self.candidates, self.beyond = n, float(far.max() * MARGIN) + 1e-5
+        else:
+            asked, queries = asked[: 2 * CALIBRATE], queries[: 2 * CALIBRATE]
+            met = index.depth(queries, self._true_cells(centroids, asked, queries, None))
+            self.candidates = int(np.ceil(np.quantile(met, RECALL) * MARGIN)) if len(met) else 1
+        some, held = [], 0
+        for _, found in index.traverse(queries[: 2 * CALIBRATE], self.candidates, self.beyond):
+            if some and held + len(found) > PLANNED:
+                break
+            some.append(found)
+            held += len(found)
+        index.plan(some, n, context.defaultParallelism)
+        whole, candidates, beyond = context.broadcast(index), self.candidates, self.beyond
         centroids.unpersist()
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Each entry to the tasks of its block, as a member, and once to each block that it asks, as a query."""
             ix = whole.value
-            names = ["task", "asks", "entry", "vec", "cells"]
+            names = ["task", "turn", "entry", "vec", "cell", "reach"]
             for b in batches:
                 if not b.num_rows:
                     continue
@@ -340,41 +427,56 @@ class Neighbours:
                 copies = ix.tasks[block]
                 at = np.repeat(np.arange(len(ids)), copies)
                 task = ix.offset[block][at] + np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
-                one = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1), pa.int32()), pa.array(cell[at], pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(task, pa.int32()), pa.array(np.zeros(len(at), bool)), pa.array(ids[at]), vecs.take(pa.array(at)), one], names=names)
-                at, blocks, lists = [], [], []
-                for i, found in enumerate(ix.traverse(x, candidates)):
-                    to = ix.blocks_of(found)
-                    at += [i] * len(to)
-                    blocks += to
-                    lists += to.values()
-                at, blocks = np.array(at, np.int64), np.array(blocks, np.int64)
-                task = ix.offset[blocks] + (ids[at] * 2_654_435_761 >> 7) % ix.tasks[blocks]
-                yield pa.RecordBatch.from_arrays([pa.array(task, pa.int32()), pa.array(np.ones(len(at), bool)), pa.array(ids[at]), vecs.take(pa.array(at)), pa.array(lists, pa.list_(pa.int32()))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(task, pa.int32()), pa.array(2 * task.astype(np.int64)), pa.array(ids[at]), vecs.take(pa.array(at)), pa.array(cell[at], pa.int32()), pa.nulls(len(at), pa.float32())], names=names)
+                for rows in ix.slices(len(ids)):
+                    ends, blocks = [], []
+                    for end, found in ix.traverse(x[rows], candidates, beyond):
+                        ends.append(end)
+                        blocks.append(ix.blocks_of(found))
+                    at = np.repeat(np.arange(len(ends)), [len(b) for b in blocks])
+                    block, query = np.concatenate(blocks), ids[rows][at]
+                    task = ix.offset[block] + (query * 2_654_435_761 >> 7) % ix.tasks[block]
+                    yield pa.RecordBatch.from_arrays([pa.array(task, pa.int32()), pa.array(2 * task.astype(np.int64) + 1), pa.array(query), vecs.take(pa.array(at + rows.start)), pa.nulls(len(at), pa.int32()), pa.array(np.array(ends, np.float32)[at])], names=names)
 
         def serve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """One task: the members of a block and the queries dealt to it."""
-            got = list(batches)
-            if not got:
-                return
-            rows = pa.Table.from_batches(got)
-            for task in np.unique(rows.column("task").to_numpy()):
-                of = rows.filter(pa.array(rows.column("task").to_numpy() == task))
-                asks = of.column("asks").to_numpy()
-                m, q = of.filter(pa.array(~asks)), of.filter(pa.array(asks))
-                if not m.num_rows or not q.num_rows:
-                    continue
-                ids = q.column("entry").to_numpy()
-                member_cells = m.column("cells").combine_chunks().flatten().to_numpy()
-                probes = np.split(q.column("cells").combine_chunks().flatten().to_numpy(), np.cumsum(q.column("cells").combine_chunks().value_lengths().to_numpy())[:-1])
-                r, near, sims = compare(matrix(m.column("vec").to_pylist(), dim), m.column("entry").to_numpy(), member_cells, matrix(q.column("vec").to_pylist(), dim), ids, probes, k, least)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(near), pa.array(sims)], schema=_SERVED)
-
-        sent = plain.mapInArrow(send, "task int, asks boolean, entry bigint, vec binary, cells array<int>")
-        return sent.repartitionById(int(index.tasks.sum()), "task").mapInArrow(serve, "entry bigint, near bigint, sim float")
+            """Of each task, the members of a block come first, then the queries dealt to it."""
+            now, block, vecs, ids, cells = None, None, [], [], []
+            for b in batches:
+                turn = b.column(0).to_numpy()
+                cuts = np.flatnonzero(np.diff(turn)) + 1
+                for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(turn)]):
+                    if s == e:
+                        continue
+                    part, task, asks = b.slice(s, e - s), turn[s] // 2, turn[s] % 2
+                    if task != now:
+                        now, block, vecs, ids, cells = task, None, [], [], []
+                    x, of = matrix(part.column(2).to_pylist(), dim), part.column(1).to_numpy()
+                    if not asks:
+                        vecs.append(x)
+                        ids.append(of)
+                        cells.append(part.column(3).to_numpy())
+                        continue
+                    if block is None and ids:
+                        block = Block(whole.value, vecs, ids, cells)
+                        vecs, ids, cells = [], [], []
+                    if block is not None:
+                        for q, near, sims in block.best(x, of, part.column(4).to_numpy(), k, least):
+                            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(near), pa.array(sims)], schema=_SERVED)
+
+        sent = plain.mapInArrow(send, "task int, turn bigint, entry bigint, vec binary, cell int, reach float")
+        dealt = sent.repartitionById(int(index.tasks.sum()), "task").drop("task").sortWithinPartitions("turn")
+        return dealt.mapInArrow(serve, "entry bigint, near bigint, sim float")
+
+    def _true_cells(self, centroids, asked: list, queries: np.ndarray, least: float | None) -> list[np.ndarray]:
+        """The cells of the true neighbours (of at least `least`) of each of the asked entries."""
+        near: dict[int, list[int]] = {r["entry"]: [] for r in asked}
+        best = self._best(self._exact([r["entry"] for r in asked], queries, centroids, least), self.k)
+        for r in best.select("entry", "near").collect():  # k rows a query; near is a cell
+            near[r["entry"]].append(r["near"] >> 40)
+        return [np.array(near[r["entry"]], np.int64) for r in asked]
 
-    def _exact(self, ids: list[int], queries: np.ndarray, centroids) -> DataFrame:
-        """The true neighbours of a bounded set of queries: (entry, near, sim); near is the neighbour's cell << 40, with its row to tell neighbours apart."""
+    def _exact(self, ids: list[int], queries: np.ndarray, centroids, least: float | None) -> DataFrame:
+        """The true neighbours (of at least `least`) of a bounded set of queries: (entry, near, sim); near is the neighbour's cell << 40, with its row to tell neighbours apart."""
         k, dim = self.k, self.dim
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,7 +484,7 @@ class Neighbours:
                 if not b.num_rows:
                     continue
                 x, rows = matrix(b.column(1).to_pylist(), dim), b.column(0).to_numpy()
-                r, m, sims = compare_all(x, np.arange(len(rows)), queries, np.full(len(ids), -1), k + 1)
+                r, m, sims = compare_all(x, np.arange(len(rows)), queries, np.full(len(ids), -1), k + 1, least)
                 other = rows[m] != np.array(ids)[r]
                 r, m, sims = r[other], m[other], sims[other]
                 cell = centroids.value.cells(x[m]) if len(m) else np.empty(0, np.int64)

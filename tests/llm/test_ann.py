@@ -108,3 +108,41 @@ def test_hundredth(spark):
     ids = [uuid.UUID(bytes=rng.bytes(16)) for _ in range(500)] + [uuid.UUID(int=100), uuid.UUID(int=2**128 - 56), uuid.UUID(int=0)]
     got = {r["id"] for r in spark.createDataFrame([(str(i),) for i in ids], "id string").filter(ann.hundredth(ann.F.col("id"))).collect()}
     assert got == {str(i) for i in ids if i.int % 100 == 0}
+
+
+def test_deep_traversals_in_little_memory(monkeypatch):
+    """Every query meets every cell; neither its cells nor what is similar pile up, and the result is that of brute force."""
+    import tracemalloc
+
+    monkeypatch.setattr(ann, "PROBES", 20_000)
+    monkeypatch.setattr(ann, "KEPT", 20_000)
+    x = np.random.default_rng(4).normal(size=(3000, DIM)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = ann.MultiIndex(x, 50_000)
+    cells, ids = index.cells(x), np.arange(3000)
+    index.count(*np.unique(cells, return_counts=True))
+    reach = np.array([end for end, _ in index.traverse(x, 3000)], np.float32)
+    block = ann.Block(index, [x.copy()], [ids], [cells])
+    tracemalloc.start()
+    got = {}
+    for least in (None, 0.1):
+        for q, near, _ in block.best(x, ids, reach, 10, least):
+            for a, b in zip(q.tolist(), near.tolist()):
+                got.setdefault((least, a), set()).add(b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6, peak
+    _, top = brute(x, 10)
+    assert all(np.mean([len(got[least, i] & set(top[i].tolist())) / 10 for i in range(3000)]) > 0.999 for least in (None, 0.1))
+
+
+def test_only_wanted_neighbours_set_the_depth(spark):
+    """Noise without clusters, where the nearest neighbours lie anywhere, and near copies of some rows: only these are sought."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 96))
+    x[:300] = x[300:600] + 0.2 * rng.normal(size=(300, 96))
+    rows = spark.createDataFrame([(f"{i:05d}", v.tolist()) for i, v in enumerate(x)], "id string, v array<float>")
+    n = ann.Neighbours(ann.unit_vectors(rows, "id", "v", 96), least=0.8)
+    got = {tuple(sorted((int(r["key"]), int(r["near"])))) for r in n.pairs(least=0.8).collect()}
+    assert got == {(i, 300 + i) for i in range(300)}
+    assert n.beyond < 1
